@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality, secrets
+from . import mixing, packing, pii, quality, secrets, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": packing.query,
+    "op3_topk": topk.query,
     "op4_mixing": mixing.query,
     "op5_secrets": secrets.query,
     "op7_quality": quality.query,
     "op10_pii": pii.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE_SQL}
