@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, quality, secrets, topk
+from . import jaccard, mixing, packing, pii, quality, secrets, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
     "op3_topk": topk.query,
     "op4_mixing": mixing.query,
     "op5_secrets": secrets.query,
+    "op6_jaccard": jaccard.query,
     "op7_quality": quality.query,
     "op10_pii": pii.query,
 }
