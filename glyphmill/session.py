@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import pathlib
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +25,36 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(here.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``); only where it is unset, as in tests, an own one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = tempfile.mkdtemp(prefix="glyphmill-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may be gone by then
+        pass
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows as Parquet into the shared folder and read them back: cut lineage that outlives executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/glyphmill/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(*frames: DataFrame) -> None:
+    """Remove scratch tables that no later step reads."""
+    for df in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/glyphmill/" in f}:
+            _remove(df.sparkSession, folder)
