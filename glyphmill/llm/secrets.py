@@ -137,15 +137,17 @@ def redact(docs: DataFrame, path: str = "doc_id", text: str = "text", rules: tup
     Texts without secrets, null included, stay as they are.
     """
     new = scratch(scan_unseen(docs, path, text, rules), "ledger")
-    held = docs.withColumn("_blob", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"), F.sha2(whole.cast("binary"), 256).alias("_blob"))
     found = findings(new, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    cut = f"""aggregate(_spans, CAST(named_struct('at', 0L, 'out', '') AS struct<at:bigint,out:string>),
+    state = "struct<at:bigint,out:string>"
+    cut = f"""aggregate(_spans, CAST(named_struct('at', 0L, 'out', '') AS {state}),
         (acc, s) -> CASE WHEN s.`end` <= acc.at THEN acc
-            WHEN s.start < acc.at OR (s.start = acc.at AND acc.at > 0) THEN CAST(named_struct('at', s.`end`, 'out', acc.out) AS struct<at:bigint,out:string>)
-            ELSE CAST(named_struct('at', s.`end`, 'out', concat(acc.out, substring(`{text}`, CAST(acc.at + 1 AS int), CAST(s.start - acc.at AS int)), {_quoted(mark)})) AS struct<at:bigint,out:string>) END,
-        acc -> concat(acc.out, substring(`{text}`, CAST(acc.at + 1 AS int), length(`{text}`))))"""
-    joined = held.join(found, "_blob", "left")
-    return joined.withColumn(text, F.expr(f"CASE WHEN _spans IS NULL THEN `{text}` ELSE {cut} END")).select(*docs.columns)
+            WHEN s.start < acc.at OR (s.start = acc.at AND acc.at > 0) THEN CAST(named_struct('at', s.`end`, 'out', acc.out) AS {state})
+            ELSE CAST(named_struct('at', s.`end`, 'out', concat(acc.out, substring(_text, CAST(acc.at + 1 AS int), CAST(s.start - acc.at AS int)), {_quoted(mark)})) AS {state}) END,
+        acc -> concat(acc.out, substring(_text, CAST(acc.at + 1 AS int), length(_text))))"""
+    joined = held.join(found, "_blob", "left").withColumn("_clean", F.expr(f"CASE WHEN _spans IS NULL THEN _text ELSE {cut} END"))
+    return joined.select(*(F.col("_clean").alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
