@@ -20,6 +20,7 @@ its own pieces, repeated rows included; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,11 +39,15 @@ CAPACITY, END_ID = 4096, 1
 #: (groups, large_parts) that are tried on the counts; the plan with the fewest sequences is taken.
 SETTINGS = ((64, 6), (96, 4), (64, 3), (64, 2))
 #: Texts' words whose ids an executor's Python keeps; beyond it the memory starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 900_000
 #: Rows in one salted group of equal lengths, about.
 GROUP_ROWS = 256
 
 
+#: Latin letters that are lower-cased and composed, and end marks.
+_LETTERS = re.compile("([a-z\u00df-\u00f6\u00f8-\u024f]+)([.,;:!?]*)").fullmatch
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, equal to the tokenizer's own.
 
@@ -63,17 +68,18 @@ class Encoder:
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn_letters(self, cores: list[str]) -> None:
-        for at in range(0, len(cores), 1000):
-            part = cores[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+    def _learn_letters(self, cores: dict[bytes, str]) -> None:
+        keys = list(cores)
+        for at in range(0, len(keys), 2000):
+            part = keys[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([cores[k] for k in part])], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
-                self._learn_any([x.encode() for x in part])
+                self._learn_any(part)
                 continue
             raw, start = ids.tobytes(), 0
-            for core, end in zip(part, (ends * 4).tolist(), strict=True):
-                self.known[core.encode()] = raw[start:end]
+            for key, end in zip(part, (ends * 4).tolist(), strict=True):
+                self.known[key] = raw[start:end]
                 start = end
 
     def _learn_any(self, chunks: list[bytes]) -> None:
@@ -81,29 +87,36 @@ class Encoder:
             self.known[chunk] = self._pack(e.ids)
 
     def _learn(self, chunks: set[bytes]) -> None:
-        split: dict[bytes, tuple[bytes, bytes]] = {}
-        cores, other = {}, set()
+        known, cores, other, split = self.known, {}, set(), []
         for chunk in chunks:
-            text = chunk.decode("utf-8", "replace").lower()
-            core = text.rstrip(".,;:!?")
-            if core.isalpha() and max(core) < "ɐ":
-                tail = text[len(core) :].encode()
-                split[chunk] = core.encode(), tail
-                cores[core] = None
-                if tail:
-                    other.add(tail)
-            else:
+            text = chunk.decode("utf-8", "replace")
+            lowered = text.lower()
+            m = _LETTERS(lowered)
+            if m is None:
                 other.add(chunk)
-        self._learn_letters([c for c in cores if c.encode() not in self.known])
-        self._learn_any([c for c in other if c not in self.known])
-        for chunk, (core, tail) in split.items():
-            self.known[chunk] = self.known[core] + self.known[tail] if tail else self.known[core]
+            elif lowered == text and not m[2]:
+                cores[chunk] = text
+            else:
+                core, tail = m[1].encode(), m[2].encode()
+                split.append((chunk, core, tail))
+                if core not in known:
+                    cores[core] = m[1]
+                if tail and tail not in known:
+                    other.add(tail)
+        self._learn_letters(cores)
+        self._learn_any(list(other))
+        for chunk, core, tail in split:
+            known[chunk] = known[core] + known[tail] if tail else known[core]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        chunks = [t.split() for t in texts]
-        new = set().union(*chunks).difference(self.known)
+        # the vocabulary has no case, but the special tokens' names have
+        chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = set()
+        for c in chunks:
+            new.update(c)
+        new.difference_update(self.known.keys() & new)
         if new:
             self._learn(new)
         get = self.known.__getitem__
