@@ -21,10 +21,12 @@ def padded(parts: Column, n: int) -> Column:
     return F.concat(pads, parts, pads)
 
 
-def _windows(parts: Column, n: int) -> Column:
-    """array<struct<ctx, sym>>: every n symbols and the one after, over the padded parts."""
-    at = padded(parts, n)
-    return F.transform(F.sequence(F.lit(1), F.size(parts) + n), lambda i: F.struct(F.array_join(F.slice(at, i, F.lit(n)), " ").alias("ctx"), F.element_at(at, i + n).alias("sym")))
+def _windows(rows: DataFrame, parts: Column, n: int, *keep: str | Column) -> DataFrame:
+    """A row for every n symbols (ctx) and the one after (sym) of the padded parts, with the columns to keep."""
+    names = [c if isinstance(c, str) else f"_{k}" for k, c in enumerate(keep)]
+    wide = rows.select(*(c if isinstance(c, str) else c.alias(f"_{k}") for k, c in enumerate(keep)), padded(parts, n).alias("_at"))
+    each = F.transform(F.sequence(F.lit(1), F.size("_at") - n), lambda i: F.struct(F.array_join(F.slice("_at", i, F.lit(n)), " ").alias("ctx"), F.element_at("_at", i + n).alias("sym")))
+    return wide.select(*names, F.explode(each).alias("w"))
 
 
 def ngram_counts(segs: DataFrame, n: int, first_word_freq: int | None = None) -> DataFrame:
@@ -33,7 +35,7 @@ def ngram_counts(segs: DataFrame, n: int, first_word_freq: int | None = None) ->
     ``first_word_freq``: also count the all-pad windows between words, n for each word but the first,
     whose frequency this is.
     """
-    seen = segs.select("freq", F.explode(_windows(F.col("parts"), n)).alias("w")).select("w.ctx", "w.sym", "freq")
+    seen = _windows(segs, F.col("parts"), n, "freq").select("w.ctx", "w.sym", "freq")
     if first_word_freq is not None:
         between = segs.agg((F.lit(n) * (F.sum("freq") - F.lit(first_word_freq))).alias("freq"))
         seen = seen.unionByName(between.select(F.array_join(F.array_repeat(F.lit(PAD), n), " ").alias("ctx"), F.lit(PAD).alias("sym"), "freq"))
@@ -73,16 +75,16 @@ def merge_deltas(segs: DataFrame, n: int, candidates: DataFrame, compat: bool =
     merged segmentation.  With ``compat`` the changes are added up for each occurrence alone, also where two of them
     share a window.
     """
-    counts = scratch(ngram_counts(segs.select("freq", symbols(F.col("seg")).alias("parts")), n), "ngrams")
-    pairs = segs.select("freq", "seg", F.explode(F.array_distinct(adjacent_pairs(symbols(F.col("seg"))))).alias("p"))
+    cut = segs.select("freq", "seg", symbols(F.col("seg")).alias("parts"))
+    counts = scratch(ngram_counts(cut, n), "ngrams")
+    pairs = cut.select("freq", "seg", F.explode(F.array_distinct(adjacent_pairs(F.col("parts")))).alias("p"))
     hit = pairs.select("freq", "seg", "p.l", "p.r").join(candidates.select("l", "r"), ["l", "r"])
     if compat:
         changes = _occurrence_changes(hit, n)
     else:
         after = merge_pair(F.col("seg"), F.col("l"), F.col("r"))
-        old = hit.select("l", "r", (-F.col("freq")).alias("c"), F.explode(_windows(symbols(F.col("seg")), n)).alias("w"))
-        new = hit.select("l", "r", F.col("freq").alias("c"), F.explode(_windows(symbols(after), n)).alias("w"))
-        changes = old.unionByName(new)
+        both = hit.select("l", "r", F.explode(F.array(F.struct((-F.col("freq")).alias("c"), F.col("seg").alias("s")), F.struct(F.col("freq").alias("c"), after.alias("s")))).alias("x"))
+        changes = _windows(both.select("l", "r", "x.c", symbols(F.col("x.s")).alias("parts")), F.col("parts"), n, "l", "r", "c")
     change = changes.groupBy("l", "r", F.col("w.ctx").alias("ctx"), F.col("w.sym").alias("sym")).agg(F.sum("c").alias("c")).where("c <> 0")
     touched = change.select("l", "r", "ctx").distinct()
     # of a touched context every continuation counts, changed or not
