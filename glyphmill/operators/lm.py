@@ -6,11 +6,14 @@ the empty symbol, which no word holds.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import adjacent_pairs, merge_pair, symbols
-from ..session import drop_scratch, scratch
+from ..session import drop_scratch, scratch, ship
 from .bpe import Merge, initial_segmentation, pair_statistics, top_pairs
 
 PAD = ""
@@ -85,7 +88,12 @@ def merge_deltas(segs: DataFrame, n: int, candidates: DataFrame, compat: bool =
         after = merge_pair(F.col("seg"), F.col("l"), F.col("r"))
         both = hit.select("l", "r", F.explode(F.array(F.struct((-F.col("freq")).alias("c"), F.col("seg").alias("s")), F.struct(F.col("freq").alias("c"), after.alias("s")))).alias("x"))
         changes = _windows(both.select("l", "r", "x.c", symbols(F.col("x.s")).alias("parts")), F.col("parts"), n, "l", "r", "c")
-    change = changes.groupBy("l", "r", F.col("w.ctx").alias("ctx"), F.col("w.sym").alias("sym")).agg(F.sum("c").alias("c")).where("c <> 0")
+    return _deltas(changes.select("l", "r", "w.ctx", "w.sym", "c"), counts)
+
+
+def _deltas(changes: DataFrame, counts: DataFrame) -> DataFrame:
+    """l, r, delta from signed window counts (l, r, ctx, sym, c) and the counts before."""
+    change = changes.groupBy("l", "r", "ctx", "sym").agg(F.sum("c").alias("c")).where("c <> 0")
     touched = change.select("l", "r", "ctx").distinct()
     # of a touched context every continuation counts, changed or not
     whole = touched.join(counts, "ctx").select("l", "r", "ctx", "sym", F.col("n").alias("was"), F.col("n").alias("now"))
@@ -96,6 +104,64 @@ def merge_deltas(segs: DataFrame, n: int, candidates: DataFrame, compat: bool =
     return by_ctx.groupBy("l", "r").agg(F.sum(F.col("d") - (xlnx("now") - xlnx("was"))).alias("delta"))
 
 
+def text_changes(words: list[list[str]], n: int, wanted: set[tuple[str, str]] | None) -> Counter:
+    """Signed window counts (l, r, ctx, sym) that merging each pair brings to one running text of segmented words.
+
+    Occurrences of a pair that are so near that they share a window are merged together; other windows don't change.
+    """
+    text = [PAD] * n + [s for w in words for s in w] + [PAD] * n
+    starts, at = {}, n
+    for w in words:
+        k = 0
+        last: dict[tuple[str, str], int] = {}
+        for k in range(len(w) - 1):
+            pair = (w[k], w[k + 1])
+            if (wanted is None or pair in wanted) and last.get(pair, -2) < k - 1:  # left to right, not overlapping
+                starts.setdefault(pair, []).append(at + k)
+                last[pair] = k
+        at += len(w)
+    out: Counter = Counter()
+
+    def count(pair: tuple[str, str], part: list[str], c: int) -> None:
+        for i in range(len(part) - n):
+            out[(*pair, " ".join(part[i : i + n]), part[i + n])] += c
+
+    for pair, places in starts.items():
+        group = [places[0]]
+        for p in [*places[1:], None]:
+            if p is not None and p - group[-1] <= n + 2:
+                group.append(p)
+                continue
+            first, end = max(0, group[0] - n), min(len(text), group[-1] + 2 + n)
+            old, new, k, hit = text[first:end], [], first, set(group)
+            while k < end:
+                new.append(text[k] + text[k + 1] if k in hit else text[k])
+                k += 2 if k in hit else 1
+            count(pair, old, -1)
+            count(pair, new, 1)
+            group = [p]
+    return out
+
+
+def corpus_merge_deltas(corpus: DataFrame, n: int, candidates: DataFrame | None = None, doc: str = "doc_id", order: str = "pos", word: str = "word", segs: DataFrame | None = None) -> DataFrame:
+    """l, r, delta: the change of the running-text log-likelihood for each candidate pair, or for every pair.
+
+    ``corpus`` and ``segs`` as in ``corpus_ngram_counts``.  A document is one group of rows; its changes are added up
+    before they are sent on.
+    """
+    ship(corpus.sparkSession)
+    counts = scratch(corpus_ngram_counts(corpus, n, segs, doc, order, word), "text-ngrams")
+    rows = corpus.select(F.col(doc).alias("d"), F.col(order).alias("o"), F.col(word).alias("word"))
+    rows = rows.join(segs.select("word", "parts"), "word") if segs is not None else rows.withColumn("parts", F.split("word", ""))
+    wanted = None if candidates is None else {(r["l"], r["r"]) for r in candidates.select("l", "r").collect()}  # a bounded parameter
+
+    def changes(frame: pd.DataFrame) -> pd.DataFrame:
+        found = text_changes([list(x) for x in frame.sort_values("o", kind="stable")["parts"]], n, wanted)
+        return pd.DataFrame([(*k, c) for k, c in found.items() if c], columns=["l", "r", "ctx", "sym", "c"])
+
+    return _deltas(rows.groupBy("d").applyInPandas(changes, "l string, r string, ctx string, sym string, c bigint"), counts)
+
+
 def _occurrence_changes(hit: DataFrame, n: int) -> DataFrame:
     """The windows around each single occurrence: n + 1 before the merge, n + 1 after."""
     rows = hit.select("l", "r", "freq", symbols(F.col("seg")).alias("s")).select("l", "r", "freq", "s", F.posexplode("s").alias("i", "x"))

@@ -27,6 +27,6 @@ def train_and_apply(train: DataFrame, corpus: DataFrame, n_merges: int, presegs:
 def base_and_morpho(vocab: DataFrame, presegs: DataFrame, n_merges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Segmentations without and with pre-segmentation, and the words they cut differently."""
     _, base = learn_bpe(vocab, n_merges)
-    _, cut = learn_bpe(apply_presegs(vocab, presegs, drop_zero=True), n_merges)
+    _, cut = learn_bpe(apply_presegs(vocab, presegs), n_merges)  # words of frequency 0 are segmented too, and count for nothing
     morpho = recover_presegs(vocab, presegs, cut.select("word", "parts"))
     return base.select("word", "parts"), morpho, segmentation_diff(base, morpho.withColumn("freq", F.lit(0)))

@@ -450,6 +450,51 @@ def lm_train(spark, d):
     return bpe.merges_frame(spark, merges)
 
 
+_TEXT_PAIRS = f"WITH v AS MATERIALIZED ({_V}), t AS MATERIALIZED (SELECT * FROM ({_PAIRS.format(seg='word', by='', rows='v')}) ORDER BY freq DESC, l, r LIMIT 3)"
+_SYMBOLS = "string_split(trim(replace(' ' || array_to_string(string_split(w, ''), '  ') || ' ', ' ' || l || '  ' || r || ' ', ' ' || l || r || ' ')), '  ')"
+_RUNNING_MERGED = _RUNNING.replace("string_split(w, '') AS cs", f"{_SYMBOLS} AS cs").replace("AS w FROM (SELECT doc_id,", "AS w, l, r FROM (SELECT l, r, doc_id,").replace("AS ws FROM documents))))", "AS ws FROM documents, p{k}))))")
+
+
+def _text_loglik_sql(counts: str) -> str:
+    return f"SELECT sum(n * ln(n / base)) AS ll FROM (SELECT n, sum(n) OVER (PARTITION BY ctx) AS base FROM ({counts}))"
+
+
+_TEXT_DELTAS = f"{_TEXT_PAIRS}, base AS MATERIALIZED ({_text_loglik_sql(_RUNNING)}), " + ", ".join(
+    f"p{k} AS (SELECT l, r FROM t ORDER BY freq DESC, l, r LIMIT 1 OFFSET {k}), d{k} AS MATERIALIZED (SELECT (SELECT l FROM p{k}) AS l, (SELECT r FROM p{k}) AS r, ll FROM ({_text_loglik_sql(_RUNNING_MERGED.replace('{k}', str(k)))}))" for k in range(3)
+)
+
+
+@_query("corpus_merge_deltas", _TEXT_DELTAS + " SELECT l, r, round(d.ll - base.ll, 2) AS delta FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2) d, base")
+def corpus_merge_deltas(spark, d):
+    tokens = fx.documents(spark, d).select("doc_id", F.posexplode(F.filter(F.split("text", WHITESPACE), lambda w: w != "")).alias("pos", "word"))
+    top = bpe.top_pairs(bpe.pair_statistics(fx.vocab(spark, d).select("freq", F.split("word", "").alias("parts"))), 3)
+    return lm.corpus_merge_deltas(tokens, N, top).select("l", "r", F.round("delta", 2).alias("delta"))
+
+
+_TRAINED = f"""{bpe_sql(_EN, MERGES)}, t AS (SELECT doc_id, line_no, generate_subscripts(ws, 1) AS at0, unnest(ws) AS w FROM (SELECT doc_id, line_no, {_TOKENS} AS ws FROM ({_LINES.replace('FROM documents', "FROM documents WHERE lang = 'fr'")}))),
+    a AS MATERIALIZED ({apply_sql(_PADDED.format(_FR), MERGES)}), j AS (SELECT doc_id, line_no, string_agg(replace(trim(seg), '  ', '@@ '), ' ' ORDER BY at0) AS text FROM t JOIN a ON a.word = w GROUP BY 1, 2)
+    SELECT l.doc_id, l.line_no, coalesce(j.text, '') AS text FROM ({_LINES.replace('FROM documents', "FROM documents WHERE lang = 'fr'")}) l LEFT JOIN j ON j.doc_id = l.doc_id AND j.line_no = l.line_no"""
+
+
+@_query("train_and_apply", _TRAINED)
+def train_and_apply(spark, d):
+    from .pipelines import train_and_apply as run
+
+    french = vocab.corpus_lines(fx.documents(spark, d, "fr"))
+    return run(fx.documents(spark, d, "en"), french, MERGES)[2]
+
+
+@_query("segmentation_diff", f"""{_CASCADE}, {bpe_sql('SELECT * FROM v', MERGES)[5:]}, {bpe_sql(f'SELECT * FROM {_LAST}', MERGES, prefix='m')[5:]},
+    o AS (SELECT v.word, CASE WHEN cut.word IS NULL THEN replace(trim(own.seg), '  ', ' ') ELSE replace(trim(a.seg), '  ', ' ') || ' ' || replace(trim(b.seg), '  ', ' ') END AS other
+    FROM v LEFT JOIN cut USING (word) LEFT JOIN ms{MERGES} own ON own.word = v.word LEFT JOIN ms{MERGES} a ON a.word = cut.stem LEFT JOIN ms{MERGES} b ON b.word = cut.suf)
+    SELECT word, replace(trim(seg), '  ', ' ') AS base, other FROM o JOIN s{MERGES} USING (word) WHERE replace(trim(seg), '  ', ' ') <> other""")
+def segmentation_diff(spark, d):
+    from .pipelines import base_and_morpho
+
+    words = fx.vocab(spark, d)
+    return base_and_morpho(words, fx.presegs(words), MERGES)[2]
+
+
 # --- vectors -----------------------------------------------------------------------------
 
 
