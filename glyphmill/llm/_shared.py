@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -55,3 +56,9 @@ def drop_scratch(*frames: DataFrame) -> None:
         folders = {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/glyphmill/" in f}
         for folder in folders:
             _remove(df.sparkSession, folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now: it does when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

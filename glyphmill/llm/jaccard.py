@@ -15,10 +15,12 @@ link when the Jaccard similarity of their sets is at least ``percent`` / 100.
 3. Shingles that occur in one prefix only are dropped.  First each document is
    compared with the smallest document of its shingles' lists; links found so
    contract the lists.  Then every pair of a list whose documents lie in
-   different components is counted, and pairs of min(l, l') common shingles
-   that also fit in size are verified on their whole sets.  Pairs in one component
-   need no comparison: the components are exact, and a group of copies of any
-   size costs rows in proportion to its size.
+   different components and fit in size is made once, if the prefixes have at
+   least min(l, l') shingles in common, and so many that those after the
+   prefixes can still make up the overlap that a link needs.  Such pairs are
+   verified on their whole sets.  Pairs in one component need no comparison:
+   the components are exact, and a group of copies of any size costs rows in
+   proportion to its size.
 
 Null texts count as empty: they have no shingles, link with nothing and are
 their own component.  Rows with a null key have component null.  Rows with the
@@ -37,12 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, drop_scratch, read, scratch
+from ._shared import as_bytes, drop_scratch, read, release, scratch
 from ._text import binary_rows, shingle_set
+from ._tree import SCHEMA, piece_rows, pieces, sum_arrays
 from .components import components
 
 #: Cells of the sketch; its size (4 bytes each) bounds what is broadcast.
-CELLS, STRIPES, FAN_IN = 1 << 20, 16, 32
+CELLS = 1 << 20
+#: Lists of more documents than this make a pair once only, at the cost of carrying their documents' prefixes.
+LONG_LIST = 128
 #: The longest multi-match, and the cost of verifying a candidate in probed rows.
 LONGEST, VERIFY_COST = 8, 8.0
 
@@ -65,35 +70,13 @@ def _first_pass(docs: DataFrame, k: int) -> DataFrame:
             counts += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
             n = len(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(key_type), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(t) for t in texts], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["_key", "n", "digest", "stripe", "counts"])
-        if counts.any():
-            parts = np.minimum(counts, 2**32 - 1).astype(np.uint32).reshape(STRIPES, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(STRIPES, key_type), pa.nulls(STRIPES, pa.int64()), pa.nulls(STRIPES, pa.binary()), pa.array(range(STRIPES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["_key", "n", "digest", "stripe", "counts"])
+        stripes, contents = pieces([counts])
+        n = len(stripes)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, key_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(stripes, pa.int32()), pa.array(contents, pa.binary())], names=["_key", "n", "digest", "stripe", "counts"])
 
     return docs.mapInArrow(run, f"_key {kind.simpleString()}, n long, digest binary, stripe int, counts binary")
 
 
-def _add_up(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(CELLS // STRIPES, np.int64)
-    for raw in frame["counts"]:
-        total += np.frombuffer(raw, np.uint32)
-    return pd.DataFrame({"stripe": [key[0]], "part": [key[1]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
-
-
-def _sketch(stripes: DataFrame) -> np.ndarray:
-    """The sum of the tasks' sketches by a tree of bounded fan-in; only the final sketch reaches the driver."""
-    n = stripes.where("stripe = 0").count()
-    level = stripes.select("stripe", F.abs(F.xxhash64("counts")).alias("part"), "counts")
-    while True:
-        groups = max(1, -(-n // FAN_IN))
-        level = level.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("stripe", "part").applyInPandas(_add_up, "stripe int, part long, counts binary")
-        n = groups
-        if groups == 1:
-            break
-    found = {r["stripe"]: r["counts"] for r in level.collect()}
-    blank = np.zeros(CELLS // STRIPES, np.uint32).tobytes()
-    return np.frombuffer(b"".join(found.get(s, blank) for s in range(STRIPES)), np.uint32)
-
-
 def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
@@ -155,49 +138,97 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def _texts(pairs: DataFrame, held: DataFrame, keyed: DataFrame) -> DataFrame:
+    """rep, text of all documents in the pairs.
+
+    A bitmap of fixed size over the keys' hashes keeps most other texts out of the shuffle; the join is exact.
+    """
+    keys = pairs.select(F.col("u").alias("_key")).unionByName(pairs.select(F.col("v").alias("_key"))).distinct()
+    wanted = scratch(keys.join(keyed, "_key").select("_key", "digest"), "candidates")
+    cell = F.pmod(F.xxhash64("_key"), F.lit(CELLS)).alias("cell")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            seen[batch.column(0).to_numpy()] = 1
+        yield piece_rows([seen])
+
+    bitmap = pairs.sparkSession.sparkContext.broadcast(sum_arrays(scratch(wanted.select(cell).mapInArrow(mark, SCHEMA), "bitmap"), [CELLS])[0] > 0)
+    marked = F.pandas_udf(lambda c: pd.Series(bitmap.value[c.to_numpy()]), "boolean")
+    digest = F.pandas_udf(lambda t: t.map(lambda x: _digest(x or b"")), "binary")
+    near = held.where("_key IS NOT NULL").where(marked(cell)).join(wanted.withColumnRenamed("digest", "_digest"), "_key")
+    exact = near.where(digest("_text") == F.col("_digest"))  # a key may have other texts as well
+    return scratch(exact.groupBy("_key").agg(F.min("_text").alias("text")).select(F.col("_key").alias("rep"), "text"), "candidate-texts")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id of every row."""
+    spark = docs.sparkSession
     held = docs.select(F.col(key).alias("_key"), as_bytes(text).alias("_text"))
     first = scratch(_first_pass(held, k), "first-pass")
     rows = first.where("stripe IS NULL").select("_key", "n", "digest")
-    sketch = _sketch(first.where("stripe IS NOT NULL").select("stripe", "counts"))
+    sketch = np.minimum(sum_arrays(first.where("stripe IS NOT NULL").select("stripe", "counts"), [CELLS])[0], 2**32 - 1).astype(np.uint32)
     full = rows.where("_key IS NOT NULL AND n > 0")
     reps = scratch(full.groupBy("digest").agg(F.min("_key").alias("rep"), F.min("n").alias("n")), "representatives")
     keyed = reps.select(F.col("rep").alias("_key"), "digest", "n")
     prefixes = _prefixes(held.where("_key IS NOT NULL"), k, percent, sketch).join(keyed, ["_key", "digest"])
-    entries = prefixes.select(F.col("_key").alias("rep"), "n", "ell", F.explode("tokens").alias("token"))
-    entries = scratch(entries, "prefix-entries")
-    several = entries.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.min(F.struct("rep", "n")).alias("h")).where("hub <> last")
-    several = scratch(several.select("token", "hub", F.col("h.n").alias("hub_n")), "shared-tokens")
-    lists = scratch(entries.join(several, "token"), "lists")
-    drop_scratch(entries)
-
-    # the texts of all that can be in a pair
-    chosen = lists.select(F.col("rep").alias("_key")).distinct().join(keyed, "_key").select("_key", "digest")
-    digest = F.pandas_udf(lambda t: t.map(lambda x: _digest(x or b"")), "binary")
-    texts = held.join(chosen.select("_key").distinct(), "_key").withColumn("digest", digest("_text")).join(chosen, ["_key", "digest"])
-    texts = scratch(texts.groupBy("_key", "digest").agg(F.min("_text").alias("text")).select(F.col("_key").alias("rep"), "text"), "candidate-texts")
+    prefixes = scratch(prefixes.select(F.col("_key").alias("rep"), "n", "ell", "tokens"), "prefixes")
+    release(spark)
+    entries = prefixes.select(F.explode("tokens").alias("token"), "rep")
+    several = entries.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("token", "hub")
+    several = scratch(several, "shared-tokens")
+    release(spark)
+    lists = scratch(entries.join(several, "token"), "list-entries")
+    release(spark)
+    sizes = prefixes.select("rep", "n", "ell")
+    lists = lists.join(sizes, "rep").join(sizes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), "hub")
+    lists = scratch(lists.select("token", "rep", "n", "ell", "hub", "hub_n"), "lists")
+    drop_scratch(several, prefixes)
+    release(spark)
 
     # each document against the smallest of its lists, where a good part of the shorter prefix agrees
     fits = "100 * least({a}, {b}) >= {p} * greatest({a}, {b})"
     stars = lists.where(f"rep <> hub AND {fits.format(a='n', b='hub_n', p=percent)}").groupBy("hub", "rep").agg(F.count("*").alias("c"), F.min(F.least("n", "hub_n")).alias("n"))
     stars = scratch(stars.where(f"300 * c >= {100 - percent} * n").select(F.col("hub").alias("u"), F.col("rep").alias("v")), "stars")
-    links = scratch(_verified(stars, texts, k, percent), "star-links")
+    links = scratch(_verified(stars, _texts(stars, held, keyed), k, percent), "star-links")
+    release(spark)
     part = components(links)
 
     # every pair of a list across components
     spread = lists.drop("hub", "hub_n").join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     spread = scratch(spread, "lists-by-component")
     drop_scratch(lists)
+    release(spark)
     count = spread.groupBy("token", "component").agg(F.count("*").alias("c"))
-    main = count.groupBy("token").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
-    main = scratch(main.select("token", F.col("m.component").alias("main")), "split-tokens")
+    main = count.groupBy("token").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("kinds"), F.sum("c").alias("length")).where("kinds > 1")
+    main = scratch(main.select("token", F.col("m.component").alias("main"), (F.col("length") > LONG_LIST).alias("long")), "split-tokens")
     open_ = scratch(spread.join(main, "token"), "open-lists")
-    minor = open_.where("component <> main").select("token", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "ell", "component")))
-    other = open_.select("token", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "ell", "component")), (F.col("component") == F.col("main")).alias("in_main"))
-    pairs = minor.join(other, (minor["token"] == other["token"]) & (F.col("component_a") != F.col("component_b")) & (F.col("in_main") | (F.col("rep_a") < F.col("rep_b"))) & F.expr(fits.format(a="n_a", b="n_b", p=percent)))
-    pairs = pairs.groupBy(F.least("rep_a", "rep_b").alias("u"), F.greatest("rep_a", "rep_b").alias("v")).agg(F.count("*").alias("c"), F.min(F.least("ell_a", "ell_b")).alias("ell")).where("c >= ell").select("u", "v")
-    more = scratch(_verified(scratch(pairs, "pairs"), texts, k, percent), "links")
+    drop_scratch(spread)
+    release(spark)
+    # what a document has in long lists and in short ones: at most its prefix
+    has = open_.groupBy("rep").agg(F.collect_list(F.when(F.col("long"), F.col("token"))).alias("tokens"), F.count_if(~F.col("long")).alias("short_n"))
+    has = scratch(has.withColumn("long_n", F.size("tokens")), "open-prefixes")
+    short = open_.where("NOT long").join(has.select("rep", F.col("long_n").alias("elsewhere")), "rep")
+    long = open_.where("long").join(has.select("rep", "tokens", F.col("short_n").alias("elsewhere")), "rep")
+    one, other = (f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND component_a <> component_b", "(component_b = main_b OR rep_a < rep_b)")
+    rest = f"greatest(({percent} * n_a + 99) DIV 100 - ell_a, ({percent} * n_b + 99) DIV 100 - ell_b) + least(elsewhere_a, elsewhere_b)"
+    enough = f"({{c}} + least(elsewhere_a, elsewhere_b) >= least(ell_a, ell_b) AND ({{c}} + {rest}) * {100 + percent} >= {percent} * (n_a + n_b))"
+
+    def apart(rows: DataFrame, *more: str) -> DataFrame:
+        """Pairs of a list in different components: one of them is not of the list's main component."""
+        columns = ("rep", "n", "ell", "component", "main", "elsewhere", *more)
+        side = lambda x: rows.select(F.col("token").alias(f"token_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+        rule = f"token_a = token_b AND {one} AND {other}"
+        if more:  # once for each pair, and only where its prefixes agree often enough
+            common = "array_intersect(tokens_a, tokens_b)"
+            rule += f" AND {enough.replace('{c}', f'size({common})')} AND array_min({common}) = token_a"
+        return side("a").where("component_a <> main_a").join(side("b"), F.expr(rule)).withColumns({"u": F.least("rep_a", "rep_b"), "v": F.greatest("rep_a", "rep_b")})
+
+    made = apart(short).groupBy("u", "v").agg(F.count("*").alias("c"), *(F.min(c).alias(c) for c in ("n_a", "n_b", "ell_a", "ell_b", "elsewhere_a", "elsewhere_b")))
+    pairs = made.where(enough.replace("{c}", "c")).select("u", "v").unionByName(apart(long, "tokens").select("u", "v")).distinct()
+    pairs = scratch(pairs, "pairs")
+    more = scratch(_verified(pairs, _texts(pairs, held, keyed), k, percent), "links")
+    release(spark)
     # a key with several texts ties them together
     several = full.groupBy("_key").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select("_key")
     tied = full.join(several, "_key").join(reps.select("digest", "rep"), "digest").select(F.col("rep").alias("u"), F.col("_key").alias("v"))
@@ -211,9 +242,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are their component's smallest, with all their columns; of equal keys one row stays, null keys all."""
     kept = near_duplicates(docs, key, text, k, percent).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    named = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_kept")).drop("_kept")
-    return named.dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_key"))
+    named = held.where("_key IS NOT NULL").join(kept, F.col("_key") == F.col("_kept")).dropDuplicates(["_key"])
+    return named.select("_doc").unionByName(held.where("_key IS NULL").select("_doc")).select("_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 3], ' ') END AS g FROM d, unnest(range(1, greatest(len(ws) - 2, 2))) u(i) WHERE len(ws) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, m.low) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY a) m ON m.a = d.doc_id
+"""

@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licences": licences.query,
     "op10_pii": pii.query,
 }
-ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE_SQL, "op5_secrets": secrets.ORACLE_SQL, "op6_jaccard": jaccard.ORACLE_SQL, "op7_quality": quality.ORACLE_SQL}

@@ -161,3 +161,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         told(F.col("spans")).alias("spans"),
         "blob",
     )
+
+
+def _oracle_sql() -> str:
+    """The query's rows in DuckDB: its regular expressions, split and extraction work alike."""
+
+    def spans(k: int, rule: Rule) -> str:
+        p = "'" + rule.pattern.replace(r"[\"']", "[\"']").replace("'", "''") + "'"
+        upto = lambda x, i: f"coalesce(list_sum(list_transform({x}[1:{i}], lambda y: length(y))), 0)"
+        start = f"({upto('p', 'i')} + {upto('h', 'i - 1')})::BIGINT"
+        return f"""(SELECT list_transform(list_filter(range(1, len(h) + 1), lambda i: length(g[i]) >= {rule.least}), lambda i: {{'s': {start}, 'rank': {k}, 'e': {start} + length(h[i]), 'kind': '{rule.kind}'}})
+            FROM (SELECT string_split_regex(t, {p}) AS p, regexp_extract_all(t, {p}, 0) AS h, regexp_extract_all(t, {p}, {rule.group}) AS g))"""
+
+    joined = spans(0, RULES[0])
+    for k, rule in enumerate(RULES[1:], 1):
+        joined = f"list_concat({joined}, {spans(k, rule)})"
+    told = lambda a: f"array_to_string(list_transform({a}, lambda x: x.kind || ':' || x.s || ':' || x.e), ',')"
+    count = ", ".join(f"len(list_filter(a, lambda x: x.kind = '{r.kind}'))::BIGINT AS n_{r.kind}" for r in BASE_RULES)
+    base = told(f"list_filter(a, lambda x: x.rank < {len(BASE_RULES)})")
+    return f"SELECT doc_id, {count}, sha256({base}) AS base_sha256, {told('a')} AS spans, sha256(t) AS blob FROM (SELECT doc_id, t, list_sort({joined}) AS a FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"
+
+
+ORACLE_SQL = _oracle_sql()

@@ -282,8 +282,9 @@ def plain_components(rows, k, percent):
     return Counter((rows[a][0], len(sets[a]), rows[a][0] if rows[a][0] is None or not sets[a] else min(groups[find(a)])) for a in range(len(rows)))
 
 
-@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
-def test_near_duplicates(spark, docs, empty, k, percent):
+@pytest.mark.parametrize("k,percent,long_list", [(4, 85, 128), (5, 80, 128), (4, 85, 3)])
+def test_near_duplicates(spark, docs, empty, k, percent, long_list, monkeypatch):
+    monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
     rows = ROWS + [(70, ROWS[8][1], None, 1, "", "", "", 0), (70, ROWS[40][1], None, 1, "", "", "", 0)]  # one key, two texts
     got = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA), k=k, percent=percent)
     want = plain_components(rows, k, percent)
