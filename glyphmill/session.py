@@ -1,4 +1,4 @@
-"""Getting this package to the executors' Python workers."""
+"""Getting this package to the executors, and tables in the folder they share."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,8 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); only where it is unset, as in tests, an own one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="glyphmill-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="glyphmill-checkpoint-")
+        found = _own[app]
     return found.rstrip("/")
 
 
