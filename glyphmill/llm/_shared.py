@@ -1,16 +1,15 @@
-"""Session-level helpers: reading tables, scratch tables in the shared folder."""
+"""Helpers of the operators: reading tables, texts as bytes, scratch tables."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import drop_scratch, scratch, ship
+
+__all__ = ["as_bytes", "drop_scratch", "read", "release", "scratch"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,46 +17,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); only where it is unset, as in tests, an own one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="glyphmill-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may be gone by then; its folder goes with it
-        pass
-
-
-def scratch(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write the rows as Parquet into the shared folder and read them back: cut lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/glyphmill/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
-
-
 def as_bytes(column: str = "text"):
     return F.col(column).cast("binary")
 
 
-def drop_scratch(*frames: DataFrame) -> None:
-    """Remove scratch tables that no later step reads."""
-    for df in frames:
-        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/glyphmill/" in f}
-        for folder in folders:
-            _remove(df.sparkSession, folder)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps now: it does when the driver's garbage is collected."""
     gc.collect()
