@@ -161,6 +161,33 @@ def _texts(pairs: DataFrame, held: DataFrame, keyed: DataFrame) -> DataFrame:
     return scratch(exact.groupBy("_key").agg(F.min("_text").alias("text")).select(F.col("_key").alias("rep"), "text"), "candidate-texts")
 
 
+def _open_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) to verify of lists (token, rep, n, ell, component, main, long) with several components."""
+    # what a document has in long lists and in short ones: at most its prefix
+    has = open_.groupBy("rep").agg(F.collect_list(F.when(F.col("long"), F.col("token"))).alias("tokens"), F.count_if(~F.col("long")).alias("short_n"))
+    has = scratch(has.withColumn("long_n", F.size("tokens")), "open-prefixes")
+    short = open_.where("NOT long").join(has.select("rep", F.col("long_n").alias("elsewhere")), "rep")
+    long = open_.where("long").join(has.select("rep", "tokens", F.col("short_n").alias("elsewhere")), "rep")
+    one, other = (f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND component_a <> component_b", "(component_b = main_b OR rep_a < rep_b)")
+    rest = f"greatest(({percent} * n_a + 99) DIV 100 - ell_a, ({percent} * n_b + 99) DIV 100 - ell_b) + least(elsewhere_a, elsewhere_b)"
+    enough = f"({{c}} + least(elsewhere_a, elsewhere_b) >= least(ell_a, ell_b) AND ({{c}} + {rest}) * {100 + percent} >= {percent} * (n_a + n_b))"
+
+    def apart(rows: DataFrame, *more: str) -> DataFrame:
+        """Pairs of a list in different components: one of them is not of the list's main component."""
+        columns = ("rep", "n", "ell", "component", "main", "elsewhere", *more)
+        side = lambda x: rows.select(F.col("token").alias(f"token_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+        rule = f"token_a = token_b AND {one} AND {other}"
+        if more:  # once for each pair, and only where its prefixes agree often enough
+            common = "array_intersect(tokens_a, tokens_b)"
+            rule += f" AND {enough.replace('{c}', f'size({common})')} AND array_min({common}) = token_a"
+        return side("a").where("component_a <> main_a").join(side("b"), F.expr(rule)).withColumns({"u": F.least("rep_a", "rep_b"), "v": F.greatest("rep_a", "rep_b")})
+
+    # a pair's first side differs from list to list: from here on a is u and b is v
+    own = lambda c, x, y: F.min(F.when(F.col("rep_a") == F.col("u"), F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))).alias(f"{c}_{x}")
+    made = apart(short).groupBy("u", "v").agg(F.count("*").alias("c"), *(own(c, *sides) for c in ("n", "ell", "elsewhere") for sides in ("ab", "ba")))
+    return made.where(enough.replace("{c}", "c")).select("u", "v").unionByName(apart(long, "tokens").select("u", "v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -205,28 +232,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     open_ = scratch(spread.join(main, "token"), "open-lists")
     drop_scratch(spread)
     release(spark)
-    # what a document has in long lists and in short ones: at most its prefix
-    has = open_.groupBy("rep").agg(F.collect_list(F.when(F.col("long"), F.col("token"))).alias("tokens"), F.count_if(~F.col("long")).alias("short_n"))
-    has = scratch(has.withColumn("long_n", F.size("tokens")), "open-prefixes")
-    short = open_.where("NOT long").join(has.select("rep", F.col("long_n").alias("elsewhere")), "rep")
-    long = open_.where("long").join(has.select("rep", "tokens", F.col("short_n").alias("elsewhere")), "rep")
-    one, other = (f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND component_a <> component_b", "(component_b = main_b OR rep_a < rep_b)")
-    rest = f"greatest(({percent} * n_a + 99) DIV 100 - ell_a, ({percent} * n_b + 99) DIV 100 - ell_b) + least(elsewhere_a, elsewhere_b)"
-    enough = f"({{c}} + least(elsewhere_a, elsewhere_b) >= least(ell_a, ell_b) AND ({{c}} + {rest}) * {100 + percent} >= {percent} * (n_a + n_b))"
-
-    def apart(rows: DataFrame, *more: str) -> DataFrame:
-        """Pairs of a list in different components: one of them is not of the list's main component."""
-        columns = ("rep", "n", "ell", "component", "main", "elsewhere", *more)
-        side = lambda x: rows.select(F.col("token").alias(f"token_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-        rule = f"token_a = token_b AND {one} AND {other}"
-        if more:  # once for each pair, and only where its prefixes agree often enough
-            common = "array_intersect(tokens_a, tokens_b)"
-            rule += f" AND {enough.replace('{c}', f'size({common})')} AND array_min({common}) = token_a"
-        return side("a").where("component_a <> main_a").join(side("b"), F.expr(rule)).withColumns({"u": F.least("rep_a", "rep_b"), "v": F.greatest("rep_a", "rep_b")})
-
-    made = apart(short).groupBy("u", "v").agg(F.count("*").alias("c"), *(F.min(c).alias(c) for c in ("n_a", "n_b", "ell_a", "ell_b", "elsewhere_a", "elsewhere_b")))
-    pairs = made.where(enough.replace("{c}", "c")).select("u", "v").unionByName(apart(long, "tokens").select("u", "v")).distinct()
-    pairs = scratch(pairs, "pairs")
+    pairs = scratch(_open_pairs(open_, percent), "pairs")
     more = scratch(_verified(pairs, _texts(pairs, held, keyed), k, percent), "links")
     release(spark)
     # a key with several texts ties them together

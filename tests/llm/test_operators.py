@@ -297,6 +297,15 @@ def test_near_duplicates(spark, docs, empty, k, percent, long_list, monkeypatch)
         assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_pairs_keep_each_documents_own_size(spark):
+    """100 shingles, and 113 that hold them: linked at 85 by four shared prefix shingles, whichever side of its list each is."""
+    rows = []
+    for token, main in ((1, 10), (2, 20), (3, 10), (4, 30)):
+        rows += [(token, rep, n, 1, rep, main, False) for rep, n in ((10, 100), (20, 113))]
+    lists = spark.createDataFrame(rows, "token bigint, rep bigint, n bigint, ell int, component bigint, main bigint, long boolean")
+    assert [tuple(r) for r in jaccard._open_pairs(lists, 85).collect()] == [(10, 20)]
+
+
 def test_prefixes_keep_every_link():
     import numpy as np
 
