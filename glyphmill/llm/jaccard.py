@@ -23,9 +23,9 @@ link when the Jaccard similarity of their sets is at least ``percent`` / 100.
    proportion to its size.
 
 Null texts count as empty: they have no shingles, link with nothing and are
-their own component.  Rows with a null key have component null.  Rows with the
-same key are one document to others (they share its component); their
-n_shingles are their own.  An empty table gives an empty result.
+their own component.  Rows with a null key have component null.  Texts are
+known by a 64-bit hash of their words and linked on their own; rows with the
+same key share a component, their n_shingles are their own.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,12 +52,16 @@ LONG_LIST = 128
 LONGEST, VERIFY_COST = 8, 8.0
 
 
-def _digest(text: bytes) -> bytes:
-    return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest()
+def _node(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b" ".join(text.lower().split()), digest_size=8).digest(), "little", signed=True)
+
+
+def _nodes(texts):
+    return F.pandas_udf(lambda t: t.map(lambda x: _node(x or b"")).astype("int64"), "long")(texts)
 
 
 def _first_pass(docs: DataFrame, k: int) -> DataFrame:
-    """One row per document (key, n, digest) and, from each task, the sketch in stripes (stripe, counts)."""
+    """One row per document (key, n, node) and, from each task, the sketch in stripes (stripe, counts)."""
     kind = docs.schema["_key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,12 +73,12 @@ def _first_pass(docs: DataFrame, k: int) -> DataFrame:
             sets = [shingle_set(t, k) for t in texts]
             counts += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
             n = len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(key_type), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(t) for t in texts], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["_key", "n", "digest", "stripe", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(key_type), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(t) for t in texts], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["_key", "n", "node", "stripe", "counts"])
         stripes, contents = pieces([counts])
         n = len(stripes)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, key_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(stripes, pa.int32()), pa.array(contents, pa.binary())], names=["_key", "n", "digest", "stripe", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, key_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(stripes, pa.int32()), pa.array(contents, pa.binary())], names=["_key", "n", "node", "stripe", "counts"])
 
-    return docs.mapInArrow(run, f"_key {kind.simpleString()}, n long, digest binary, stripe int, counts binary")
+    return docs.mapInArrow(run, f"_key {kind.simpleString()}, n long, node long, stripe int, counts binary")
 
 
 def needed(n: int, percent: int) -> int:
@@ -112,10 +116,10 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
             found = [prefix(t, k, percent, shared.value, noise) for t in texts]
             offsets = np.concatenate([[0], np.cumsum([len(p) for _, p in found])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([p for _, p in found]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(t) for t in texts], pa.binary()), pa.array([e for e, _ in found], pa.int32()), tokens], names=["_key", "digest", "ell", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(t) for t in texts], pa.int64()), pa.array([e for e, _ in found], pa.int32()), tokens], names=["_key", "node", "ell", "tokens"])
 
     kind = docs.schema["_key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_key {kind}, digest binary, ell int, tokens array<long>")
+    return docs.mapInArrow(run, f"_key {kind}, node long, ell int, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -143,8 +147,8 @@ def _texts(pairs: DataFrame, held: DataFrame, keyed: DataFrame) -> DataFrame:
 
     A bitmap of fixed size over the keys' hashes keeps most other texts out of the shuffle; the join is exact.
     """
-    keys = pairs.select(F.col("u").alias("_key")).unionByName(pairs.select(F.col("v").alias("_key"))).distinct()
-    wanted = scratch(keys.join(keyed, "_key").select("_key", "digest"), "candidates")
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = scratch(nodes.join(keyed, "node").select("_key", "node"), "candidates")
     cell = F.pmod(F.xxhash64("_key"), F.lit(CELLS)).alias("cell")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +159,9 @@ def _texts(pairs: DataFrame, held: DataFrame, keyed: DataFrame) -> DataFrame:
 
     bitmap = pairs.sparkSession.sparkContext.broadcast(sum_arrays(scratch(wanted.select(cell).mapInArrow(mark, SCHEMA), "bitmap"), [CELLS])[0] > 0)
     marked = F.pandas_udf(lambda c: pd.Series(bitmap.value[c.to_numpy()]), "boolean")
-    digest = F.pandas_udf(lambda t: t.map(lambda x: _digest(x or b"")), "binary")
-    near = held.where("_key IS NOT NULL").where(marked(cell)).join(wanted.withColumnRenamed("digest", "_digest"), "_key")
-    exact = near.where(digest("_text") == F.col("_digest"))  # a key may have other texts as well
-    return scratch(exact.groupBy("_key").agg(F.min("_text").alias("text")).select(F.col("_key").alias("rep"), "text"), "candidate-texts")
+    near = held.where("_key IS NOT NULL").where(marked(cell)).withColumn("node", _nodes("_text"))
+    exact = near.join(wanted, ["_key", "node"])  # a key may have other texts as well
+    return scratch(exact.groupBy("node").agg(F.min("_text").alias("text")).select(F.col("node").alias("rep"), "text"), "candidate-texts")
 
 
 def _open_pairs(open_: DataFrame, percent: int) -> DataFrame:
@@ -188,18 +191,18 @@ def _open_pairs(open_: DataFrame, percent: int) -> DataFrame:
     return made.where(enough.replace("{c}", "c")).select("u", "v").unionByName(apart(long, "tokens").select("u", "v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """key, n_shingles, component_id of every row."""
+def _linked(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """key, n, node of every row; node, rep (its smallest key) of every text with shingles; and the texts' links (u, v)."""
     spark = docs.sparkSession
     held = docs.select(F.col(key).alias("_key"), as_bytes(text).alias("_text"))
     first = scratch(_first_pass(held, k), "first-pass")
-    rows = first.where("stripe IS NULL").select("_key", "n", "digest")
+    rows = first.where("stripe IS NULL").select("_key", "n", "node")
     sketch = np.minimum(sum_arrays(first.where("stripe IS NOT NULL").select("stripe", "counts"), [CELLS])[0], 2**32 - 1).astype(np.uint32)
     full = rows.where("_key IS NOT NULL AND n > 0")
-    reps = scratch(full.groupBy("digest").agg(F.min("_key").alias("rep"), F.min("n").alias("n")), "representatives")
-    keyed = reps.select(F.col("rep").alias("_key"), "digest", "n")
-    prefixes = _prefixes(held.where("_key IS NOT NULL"), k, percent, sketch).join(keyed, ["_key", "digest"])
-    prefixes = scratch(prefixes.select(F.col("_key").alias("rep"), "n", "ell", "tokens"), "prefixes")
+    reps = scratch(full.groupBy("node").agg(F.min("_key").alias("rep"), F.min("n").alias("n")), "representatives")
+    keyed = reps.select(F.col("rep").alias("_key"), "node", "n")
+    prefixes = _prefixes(held.where("_key IS NOT NULL"), k, percent, sketch).join(keyed, ["_key", "node"])
+    prefixes = scratch(prefixes.select(F.col("node").alias("rep"), "n", "ell", "tokens"), "prefixes")
     release(spark)
     entries = prefixes.select(F.explode("tokens").alias("token"), "rep")
     several = entries.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("token", "hub")
@@ -235,22 +238,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     pairs = scratch(_open_pairs(open_, percent), "pairs")
     more = scratch(_verified(pairs, _texts(pairs, held, keyed), k, percent), "links")
     release(spark)
-    # a key with several texts ties them together
-    several = full.groupBy("_key").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select("_key")
-    tied = full.join(several, "_key").join(reps.select("digest", "rep"), "digest").select(F.col("rep").alias("u"), F.col("_key").alias("v"))
-    part = components(links.unionByName(more).unionByName(tied))
+    return rows, reps.select("node", "rep"), links.unionByName(more)
+
+
+def _named(reps: DataFrame, part: DataFrame) -> DataFrame:
+    """The texts with their component."""
+    return reps.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    found = rows.join(reps.select("digest", "rep"), "digest", "left").join(part.withColumnRenamed("node", "rep"), "rep", "left")
-    mine = F.when((F.col("n") > 0) & F.col("_key").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("_key"))
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """key, n_shingles, component_id of every row."""
+    rows, reps, links = _linked(docs, key, text, k, percent)
+    # a key with several texts ties them together
+    full = rows.where("_key IS NOT NULL AND n > 0")
+    several = full.groupBy("_key").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v <> last").select("_key", "v")
+    tied = full.join(several, "_key").select(F.col("node").alias("u"), "v")
+    named = _named(reps, components(links.unionByName(tied)))
+    named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
+    found = rows.join(named, "node", "left")
+    mine = F.when((F.col("n") > 0) & F.col("_key").isNotNull(), F.col("component_id")).otherwise(F.col("_key"))
     return found.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are their component's smallest, with all their columns; of equal keys one row stays, null keys all."""
-    kept = near_duplicates(docs, key, text, k, percent).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    held = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_key"))
-    named = held.where("_key IS NOT NULL").join(kept, F.col("_key") == F.col("_kept")).dropDuplicates(["_key"])
-    return named.select("_doc").unionByName(held.where("_key IS NULL").select("_doc")).select("_doc.*")
+    """One document of each group of linked texts, that of the smallest key, with all its columns; null keys and unlike texts of one key stay.
+
+    Texts without shingles stay once for each key.
+    """
+    rows, reps, links = _linked(docs, key, text, k, percent)
+    first = _named(reps, components(links)).groupBy("component").agg(F.min(F.struct("rep", "node")).alias("m")).select("m.*")
+    kept = first.unionByName(rows.where("_key IS NOT NULL AND n = 0").select(F.col("_key").alias("rep"), "node").distinct())
+    kept = kept.select(F.col("rep").alias("_kept"), F.col("node").alias("_kept_node"))
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_key"), _nodes(as_bytes(text)).alias("_node"))
+    named = held.where("_key IS NOT NULL").join(kept, (F.col("_key") == F.col("_kept")) & (F.col("_node") == F.col("_kept_node"))).dropDuplicates(["_key", "_node"])
+    return named.select("_doc").unionByName(docs.where(F.col(key).isNull()).select(F.struct(*docs.columns).alias("_doc"))).select("_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

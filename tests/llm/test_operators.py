@@ -306,6 +306,18 @@ def test_pairs_keep_each_documents_own_size(spark):
     assert [tuple(r) for r in jaccard._open_pairs(lists, 85).collect()] == [(10, 20)]
 
 
+def test_texts_of_one_key(spark):
+    """A key's texts are linked each on its own words, and unlike ones are kept."""
+    rng = random.Random(8)
+    prose = lambda: " ".join(f"{rng.randrange(1 << 30):x}" for _ in range(60))
+    a, b, c, d = (prose() for _ in range(4))
+    rows = [(1, a), (1, b), (1, c), (2, f"{c} end"), (3, f"{b} end"), (4, d), (1, ""), (1, None), (5, ""), (1, a.upper()), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert bag(jaccard.near_duplicates(docs).collect()) == plain_components(rows, 5, 80)
+    kept = bag((r["doc_id"], (r["text"] or "").lower()) for r in jaccard.one_of_each(docs).collect())
+    assert kept == bag([(1, a), (1, b), (1, c), (4, d), (1, ""), (5, ""), (None, a)])
+
+
 def test_prefixes_keep_every_link():
     import numpy as np
 
