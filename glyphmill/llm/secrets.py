@@ -50,12 +50,17 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+_PEM = "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+#: A key runs to its END line; where that is missing, over its headers and lines of base64 (a last short one too).
+_TO_END = "[^-]*(?:-{1,4}[^-]+){0,20}-----END [A-Z ]{0,40}PRIVATE KEY-----"
+_HEADERS = r"(?:[\x20\t\r\n]*[A-Za-z-]+:[^\n]*\n){0,9}"
+_BASE64 = r"(?:[A-Za-z0-9+/=\x20\t\r\n\\]*[A-Za-z0-9+/=]{16,}(?:[\x20\t]*[\r\n]+[A-Za-z0-9+/=]+)?)?"
 RULES = (
     *BASE_RULES,
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", _PEM + f"(?:{_TO_END}|{_HEADERS}{_BASE64})", gate=_PEM),
 )
 SPAN = "struct<kind:string,rank:int,start:bigint,end:bigint>"
 
