@@ -32,9 +32,20 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}))")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9[0-9]{2})[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
+#: The length of an IBAN by country; elsewhere every end of a token is tried.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT",
+        26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for c in countries.split()
+}
+
 #: Words before a span that speak for or against a kind.
 CONTEXT = {
     "email": ({"email", "e-mail", "mail", "contact", "write"}, set()),
@@ -82,6 +93,23 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", floor)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Non-overlapping IBANs: each ends with the first token that gives its country's length and passes mod-97."""
+    floor = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < floor:
+            continue
+        most, want = m.end(1), IBAN_LENGTHS.get(m[0][:2])
+        for end in range(m.start() + 15, most + 1):
+            if text[end - 1] == "\x20" or text[end : end + 1].isascii() and text[end : end + 1].isalnum():
+                continue
+            iban = text[m.start() : end].replace("\x20", "")
+            if (len(iban) == want if want else len(iban) >= 15) and mod97(iban):
+                yield m.start(), end
+                floor = end
+                break
+
+
 def _proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
     """Spans whose validator accepts, and whether that was a checksum."""
     for s, e in _emails(text):
@@ -96,9 +124,8 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
         for m in _PHONE.finditer(text):
             if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
                 yield "phone", *m.span(), False
-        for m in _IBAN.finditer(text):
-            if mod97(m[0].replace("\x20", "")):
-                yield "iban", *m.span(), True
+        for s, e in _ibans(text):
+            yield "iban", s, e, True
         for m in _SSN.finditer(text):
             yield "ssn", *m.span(), False
 

@@ -220,6 +220,14 @@ def test_pii_checks_and_context():
     assert pii.digest(text) == hashlib.sha256(b"card:9:25").hexdigest()
 
 
+@pytest.mark.parametrize("after", ["", " BIC COBADEFFXXX", " 2024", " I sent", ", then", " by", " DE89370400440532013000"])
+def test_iban_ends_with_its_country_length(after):
+    for iban in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"):
+        found = [(s.start, s.end) for s in pii.find_pii(f"IBAN {iban}{after}") if s.kind == "iban"]
+        assert found[:1] == [(5, 5 + len(iban))] and len(found) == 1 + after.startswith(" DE89")
+        assert not [s for s in pii.find_pii(f"IBAN {iban}X{after}") if s.kind == "iban" and s.start == 5]
+
+
 def test_packing(docs, empty):
     rows = packing.pack_documents(docs, capacity=256).collect()
     enc = packing.encoder(None)
