@@ -59,9 +59,13 @@ def adjacent_pairs(parts: Column) -> Column:
 
 def boundaries(parts: Column) -> Column:
     """Inner boundary offsets of a segmentation: running lengths without the last."""
-    n = F.size(parts)
-    run = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, p: a + F.length(p)))
-    return F.when(n > 1, run).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+
+    def step(acc: Column, part: Column) -> Column:
+        at = acc["at"] + F.length(part)
+        return F.struct(at.alias("at"), F.array_append(acc["found"], at).alias("found"))
+
+    return F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda acc: acc["found"])
 
 
 def strip_eol(parts: Column) -> Column:

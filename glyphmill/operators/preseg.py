@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import boundaries, cosine, drop_strings, subtract
-from ..session import scratch, ship
+from ..session import scratch
 
 RULES_SCHEMA = "array<struct<rule:struct<`from`:string,`to`:string,kind:string>,transformations:array<struct<cosine:string,rule:struct<input:string,output:string>>>>>"
 
@@ -21,22 +20,37 @@ def extract_boundaries(vocab: DataFrame, presegs: DataFrame) -> DataFrame:
     return cut.select("word", boundaries(F.col("parts")).alias("offsets"))
 
 
+def _refuse_cycles(cut: DataFrame) -> None:
+    """Raise where a word's parts lead back to it: such frequencies would go round for ever."""
+    steps = cut.select("word", F.explode("parts").alias("part"))
+    if steps.where("length(part) >= length(word)").isEmpty():
+        return  # parts shorter than their words can't lead back
+    steps = scratch(steps.join(cut.select(F.col("word").alias("part")), "part", "left_semi").distinct(), "steps")
+    before = -1
+    while (left := steps.count()) not in (0, before):
+        steps, before = scratch(steps.join(steps.select(F.col("word").alias("part")), "part", "left_semi"), "steps"), left
+    if left:
+        raise ValueError(f"pre-segmentations lead back to their own word, one of them {steps.agg(F.min('word')).first()[0]!r}")
+
+
 def apply_presegs(vocab: DataFrame, presegs: DataFrame, drop_zero: bool = False) -> DataFrame:
     """The vocabulary after pre-segmented words have given their frequency to their parts.
 
-    Parts that are pre-segmented words pass it on, until none holds any.  Pre-segmented words of the vocabulary stay
-    with frequency 0 unless ``drop_zero``.
+    Parts that are pre-segmented words pass it on, until none holds any; a cycle among them is an error.  Pre-segmented
+    words that held a frequency stay with 0 unless ``drop_zero``.  Only the moving words take part in a round; the
+    vocabulary is regrouped once.
     """
     cut = presegs.where(F.size("parts") > 1).select("word", "parts")
-    now = vocab.select("word", "freq")
-    while True:
-        moving = now.where("freq <> 0").join(cut, "word").select("word", "freq", "parts")
-        moving = scratch(moving, "moving")
-        if moving.isEmpty():
-            break
-        out = moving.select("word", (-F.col("freq")).alias("freq"))
-        into = moving.select(F.explode("parts").alias("word"), "freq")
-        now = scratch(now.unionByName(out).unionByName(into).groupBy("word").agg(F.sum("freq").alias("freq")), "vocabulary")
+    _refuse_cycles(cut)
+    moving = scratch(vocab.where("freq <> 0").join(cut, "word").select("word", "freq", "parts"), "moving")
+    changes = None
+    while not moving.isEmpty():
+        into = scratch(moving.select(F.explode("parts").alias("word"), "freq").groupBy("word").agg(F.sum("freq").alias("freq")), "into")
+        round_ = moving.select("word", (-F.col("freq")).alias("freq")).unionByName(into)
+        changes = round_ if changes is None else changes.unionByName(round_)
+        moving = scratch(into.where("freq <> 0").join(cut, "word").select("word", "freq", "parts"), "moving")
+    held = vocab.select("word", "freq")
+    now = held if changes is None else held.unionByName(changes).groupBy("word").agg(F.sum("freq").alias("freq"))
     return now.where("freq <> 0") if drop_zero else now
 
 
@@ -143,62 +157,41 @@ def compute_presegs(targets: DataFrame, transforms: DataFrame, vocab: DataFrame,
     return propagated(nodes) if propagate else nodes.select("word", "parts")
 
 
-def tree_roots(nodes: DataFrame) -> DataFrame:
-    """word, root of a forest given as word, parent, by pointer doubling; the number of rounds is logarithmic in its depth."""
-    inner = nodes.where("parent IS NOT NULL").select("word", F.col("parent").alias("root"))
-    outer = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("word")).join(inner.select("word"), "word", "left_anti").distinct()
-    now = inner
-    while True:
-        up = now.select(F.col("word").alias("root"), F.col("root").alias("_up"))
-        new = scratch(now.join(up, "root", "left").select("word", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved")), "roots")
-        if not new.where("_moved").limit(1).count():
-            break
-        now = new.select("word", "root")
-    return new.select("word", "root").unionByName(outer.select("word", F.col("word").alias("root")))
-
-
-def replay(frame: pd.DataFrame) -> pd.DataFrame:
-    """One derivation tree: longest words first, each word's affix is also split off the linked part of its descendants."""
-    frame = frame.sort_values(["word"], kind="stable").assign(_n=lambda f: f["word"].str.len()).sort_values("_n", ascending=False, kind="stable")
-    rows = {r.word: r for r in frame.itertuples()}
-    parts = {w: list(r.parts) for w, r in rows.items()}
-    kids: dict[str, list[str]] = {}
-    links: dict[str, list[int]] = {}
-    for w, r in rows.items():
-        if r.parent is not None:
-            kids.setdefault(r.parent, []).append(w)
-            links[w] = [0] if r.kind == "s" else [1]
-
-    def down(word: str, drop: str, suffix: bool) -> None:
-        stack = [(word, 0)]
-        while stack:
-            at, place = stack.pop()
-            for kid in kids.get(at, ()):
-                link, own = links[kid], parts[kid]
-                if place >= len(link) or link[place] >= len(own):
-                    continue  # the kid was split where its parent wasn't: the places don't line up
-                index = link[place]
-                part = own[index]
-                if len(part) > len(drop) and (part.endswith(drop) if suffix else part.startswith(drop)):
-                    own[index : index + 1] = [part[: -len(drop)], drop] if suffix else [drop, part[len(drop) :]]
-                    link.append(max(link) + 1)
-                    stack.append((kid, index))
-
-    for w, r in rows.items():
-        if r.parent is not None:
-            down(w, r.from_str, r.kind == "s")
-    wanted = frame[frame["target"]]["word"]
-    return pd.DataFrame({"word": wanted.to_numpy(), "parts": [parts[w] for w in wanted]})
+SENT = "array<struct<place:int,affix:string,suffix:boolean>>"
+
+
+def _carried() -> Column:
+    """What the splits in ``met`` do to ``parts``: struct<parts, taken>, the taken ones with their new place.
+
+    A parent's part number k is the word's part number ``lead`` + k, and only as far as the parent's parts have been
+    split off in the word as well: its first part, and one more for each split taken.
+    """
+    state = f"struct<parts:array<string>,taken:{SENT}>"
+    part = "acc.parts[lead + x.place]"
+    fits = f"x.place <= size(acc.taken) AND length({part}) > length(x.affix) AND CASE WHEN x.suffix THEN endswith({part}, x.affix) ELSE startswith({part}, x.affix) END"
+    halves = f"CASE WHEN x.suffix THEN array(left({part}, length({part}) - length(x.affix)), x.affix) ELSE array(x.affix, right({part}, length({part}) - length(x.affix))) END"
+    after = f"concat(slice(acc.parts, 1, lead + x.place), {halves}, slice(acc.parts, lead + x.place + 2, size(acc.parts)))"
+    sent = f"concat(acc.taken, CAST(array(named_struct('place', lead + x.place, 'affix', x.affix, 'suffix', x.suffix)) AS {SENT}))"
+    return F.expr(f"""aggregate(met, CAST(named_struct('parts', parts, 'taken', array()) AS {state}),
+        (acc, x) -> CASE WHEN {fits} THEN CAST(named_struct('parts', {after}, 'taken', {sent}) AS {state}) ELSE acc END)""")
 
 
 def propagated(nodes: DataFrame) -> DataFrame:
-    """word, parts after every split has been carried to the descendants (word, parent, kind, from_str, parts).
+    """word, parts after every split has been carried to the words derived from the split word (word, parent, kind, from_str, parts).
 
-    Trees are replayed one by one; a tree is a family of words derived from one root, far smaller than the vocabulary.
+    Derivations are worked off generation by generation, an equi-join of words with their parents each: a word meets its
+    parent's own split and then those that reached the parent, in their order, and hands on those that it takes.  A parent is
+    shorter than its words, so that there are no more generations than letters in the longest word.
     """
-    ship(nodes.sparkSession)
-    nodes = scratch(nodes.select("word", "parent", "kind", "from_str", "parts"), "forest")
-    roots = tree_roots(nodes)
-    inside = nodes.join(roots, "word")
-    run = inside.withColumn("target", F.lit(True)).groupBy("root").applyInPandas(lambda f: replay(f), "word string, parts array<string>")
-    return run.unionByName(nodes.join(roots, "word", "left_anti").select("word", "parts"))
+    split = scratch(nodes.where("parent IS NOT NULL").select("word", "parent", "kind", "from_str", "parts"), "derived")
+    suffix = F.col("kind") == "s"
+    own = F.array(F.struct(F.lit(0).alias("place"), F.col("from_str").alias("affix"), suffix.alias("suffix"))).cast(SENT)
+    first = split.join(split.select(F.col("word").alias("parent")), "parent", "left_anti").withColumn("met", F.array().cast(SENT))
+    out, now = nodes.where("parent IS NULL").select("word", "parts"), first
+    while True:
+        done = now.withColumn("lead", F.when(suffix, 0).otherwise(1)).withColumn("c", _carried())
+        done = scratch(done.select("word", F.col("c.parts").alias("parts"), F.concat(own, "c.taken").alias("sent")), "generation")
+        if done.isEmpty():
+            return out
+        out = out.unionByName(done.select("word", "parts"))
+        now = split.join(done.select(F.col("word").alias("parent"), F.col("sent").alias("met")), "parent")

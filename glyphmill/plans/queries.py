@@ -62,11 +62,18 @@ def lowercase_corpus(spark, d):
     return vocab.lowercase_corpus(vocab.corpus_lines(fx.documents(spark, d)))
 
 
-@_query("tab_corpus", f"SELECT w AS word, count(*)::BIGINT AS freq FROM (SELECT unnest(string_split_regex(text, '{WHITESPACE}')) AS w FROM (SELECT string_split(replace(text, chr(9), ' '), chr(10))[1] AS text FROM documents)) WHERE w <> '' GROUP BY 1")
+_TAB_LINES = f"SELECT doc_id, line_no, replace(text, chr(9), ' ') AS text FROM ({_LINES})"
+
+
+def _tab_lines(spark, d):
+    """Every line of every text as the second of three tab-separated fields."""
+    rows = vocab.corpus_lines(fx.documents(spark, d))
+    return rows.select(F.concat_ws("\t", "doc_id", F.regexp_replace("text", "\t", " "), "line_no").alias("line"))
+
+
+@_query("tab_corpus", f"SELECT w AS word, count(*)::BIGINT AS freq FROM (SELECT unnest({_TOKENS}) AS w FROM ({_TAB_LINES})) GROUP BY 1")
 def tab_corpus(spark, d):
-    first = F.split(F.regexp_replace("text", "\t", " "), "\n")[0]
-    lines = fx.documents(spark, d).select(F.concat_ws("\t", "doc_id", first, "lang").alias("line"))
-    corpus, _ = gold.evaluation_corpus(lines, spark.createDataFrame([], "word string, alts array<array<string>>"))
+    corpus, _ = gold.evaluation_corpus(_tab_lines(spark, d), spark.createDataFrame([], "word string, alts array<array<string>>"))
     return vocab.vocabulary(corpus)
 
 
@@ -213,13 +220,37 @@ def gold_in_corpus(spark, d):
     return kept.select("word", F.concat_ws(" ", "stem", "suf").alias("line"))
 
 
-@_query("seg_eval_data", f"SELECT word, stem || ' ' || suf AS line FROM ({_STEMS}) WHERE word IN (SELECT word FROM ({fx.word_vectors_sql(_FR)})) AND word NOT LIKE '%:%' AND word NOT LIKE '%~%'")
-def seg_eval_data(spark, d):
+@_query("tab_corpus_gold", f"WITH v AS (SELECT DISTINCT unnest({_TOKENS.replace('text', 'lower(text)')}) AS word FROM ({_TAB_LINES})) SELECT word, stem || ' ' || suf AS line FROM ({_STEMS}) WHERE word NOT LIKE '%:%' AND word NOT LIKE '%~%' AND word IN (SELECT word FROM v)")
+def tab_corpus_gold(spark, d):
+    entries = fx.stems(fx.vocab(spark, d)).where("word NOT LIKE '%:%' AND word NOT LIKE '%~%'")
+    entries = entries.select("word", F.array(F.array(F.concat("stem", F.lit(":N")), F.lit("~"), F.concat("suf", F.lit(":+PL")))).alias("alts"))
+    _, kept = gold.evaluation_corpus(_tab_lines(spark, d).select(F.lower("line").alias("line")), entries)
+    return kept.select("word", F.array_join(F.col("alts")[0], " ").alias("line"))
+
+
+_KNOWN = f"SELECT word FROM ({fx.word_vectors_sql(_FR)})"
+
+
+def _evaluation_data(spark, d):
     words = fx.vocab(spark, d)
     table = words.select(F.concat_ws(" ", "freq", "word").alias("line"))
     entries = fx.stems(words).where("word NOT LIKE '%:%' AND word NOT LIKE '%~%'").select("word", F.array(F.array(F.concat("stem", F.lit(":a")), F.concat("suf", F.lit(":b")))).alias("alts"))
-    _, kept, _ = gold.evaluation_data(table, entries, fx.word_vectors(spark, d, fx.vocab(spark, d, "fr")))
-    return kept.select("word", F.array_join(F.col("alts")[0], " ").alias("line"))
+    return gold.evaluation_data(table, entries, fx.word_vectors(spark, d, fx.vocab(spark, d, "fr")))
+
+
+@_query("seg_eval_data", f"SELECT word, stem || ' ' || suf AS line FROM ({_STEMS}) WHERE word IN ({_KNOWN}) AND word NOT LIKE '%:%' AND word NOT LIKE '%~%'")
+def seg_eval_data(spark, d):
+    return _evaluation_data(spark, d)[1].select("word", F.array_join(F.col("alts")[0], " ").alias("line"))
+
+
+@_query("seg_eval_lines", f"SELECT freq || ' ' || word AS line FROM ({_V}) WHERE word IN ({_KNOWN})")
+def seg_eval_lines(spark, d):
+    return _evaluation_data(spark, d)[0]
+
+
+@_query("seg_eval_words", f"SELECT word FROM ({_V}) WHERE word IN ({_KNOWN})")
+def seg_eval_words(spark, d):
+    return _evaluation_data(spark, d)[2]
 
 
 # --- boundaries --------------------------------------------------------------------
@@ -290,8 +321,8 @@ def _cascade_sql(words: str, rounds: int = 8) -> str:
     """CTEs w0..: the vocabulary after each round of giving frequencies to parts."""
     ctes = [f"v AS MATERIALIZED ({words})", f"cut AS MATERIALIZED ({fx.stems_sql('SELECT * FROM v')})", "w0 AS MATERIALIZED (SELECT word, freq FROM v)"]
     for k in range(rounds):
-        moved = f"SELECT w.word, w.freq, stem, suf FROM w{k} w JOIN cut USING (word) WHERE w.freq <> 0"
-        ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT word, sum(freq)::BIGINT AS freq FROM (SELECT * FROM w{k} UNION ALL SELECT word, -freq FROM ({moved}) UNION ALL SELECT stem, freq FROM ({moved}) UNION ALL SELECT suf, freq FROM ({moved})) GROUP BY word)")
+        ctes.append(f"m{k} AS MATERIALIZED (SELECT w.word, w.freq, stem, suf FROM w{k} w JOIN cut USING (word) WHERE w.freq <> 0)")
+        ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT word, sum(freq)::BIGINT AS freq FROM (SELECT * FROM w{k} UNION ALL SELECT word, -freq FROM m{k} UNION ALL SELECT stem, freq FROM m{k} UNION ALL SELECT suf, freq FROM m{k}) GROUP BY word)")
     return "WITH " + ", ".join(ctes), f"w{rounds}"
 
 
@@ -379,7 +410,24 @@ def preseg_words(spark, d):
     return preseg.compute_presegs(words, found, words, vecs, THRESHOLD).select("word", _text().alias("parts"))
 
 
-@_query("preseg_propagated")
+def _propagated_sql(generations: int = 6) -> str:
+    """CTEs g0..: words by generation of their derivation, with the splits they hand on; one step for each split met."""
+    own = "[{'place': 0, 'affix': b.from_str}]"
+    parts = "[left(b.word, length(b.word) - length(b.from_str)), b.from_str]"
+    ctes = [f"g0 AS MATERIALIZED (SELECT b.word, {parts} AS parts, {own} AS sent FROM best b WHERE parent NOT IN (SELECT word FROM best))"]
+    for k in range(1, generations):
+        rows = f"SELECT b.word, {parts} AS parts, p.sent AS met, {own} AS sent FROM best b JOIN g{k - 1} p ON p.word = b.parent"
+        for e in range(1, k + 1):
+            part, affix, at = "parts[c.place + 1]", "c.affix", "c.place"
+            fits = f"coalesce(c.place < len(sent) AND length({part}) > length({affix}) AND ends_with({part}, {affix}), false)"
+            cut = f"list_concat(list_concat(parts[1:{at}], [left({part}, length({part}) - length({affix})), {affix}]), parts[{at} + 2:])"
+            rows = f"SELECT word, CASE WHEN {fits} THEN {cut} ELSE parts END AS parts, met, CASE WHEN {fits} THEN list_append(sent, {{'place': {at}, 'affix': {affix}}}) ELSE sent END AS sent FROM (SELECT *, met[{e}] AS c FROM ({rows}))"
+        ctes.append(f"g{k} AS MATERIALIZED (SELECT word, parts, sent FROM ({rows}))")
+    every = " UNION ALL ".join(f"SELECT word, array_to_string(parts, ' ') AS parts FROM g{k}" for k in range(generations))
+    return f"{_BEST.replace('{0}', str(THRESHOLD))}, {', '.join(ctes)} SELECT word, word AS parts FROM v WHERE word NOT IN (SELECT word FROM best) UNION ALL {every}"
+
+
+@_query("preseg_propagated", _propagated_sql())
 def preseg_propagated(spark, d):
     words, vecs, found = _transforms(spark, d)
     return preseg.compute_presegs(words, found, words, vecs, THRESHOLD, propagate=True).select("word", _text().alias("parts"))

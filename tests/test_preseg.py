@@ -1,9 +1,7 @@
 """Affix rules, their application, mass transfer, recovery and propagation."""
 
 import json
-from collections import Counter
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,45 +72,37 @@ def test_common(spark):
     assert [(r["word"], r["freq"]) for r in rows] == [("cats", 3), ("dogs", 0)]
 
 
-def plain_propagation(nodes):
-    """One word after the other, longest first, by recursion."""
-    parts = {w: list(p) for w, _, _, _, p in nodes}
-    kids, link = {}, {}
-
-    def down(word, place, drop, kind):
-        for kid in kids.get(word, ()):
-            if len(link[kid]) <= place or link[kid][place] >= len(parts[kid]):
-                continue
-            at = link[kid][place]
-            seg = parts[kid][at]
-            fits = seg.endswith(drop) if kind == "s" else seg.startswith(drop)
-            if fits and len(seg) > len(drop):
-                parts[kid][at : at + 1] = [seg[: -len(drop)], drop] if kind == "s" else [drop, seg[len(drop) :]]
-                link[kid].append(max(link[kid]) + 1)
-                down(kid, at, drop, kind)
-
-    for w, parent, kind, drop, _ in sorted(nodes, key=lambda x: -len(x[0])):
-        if parent:
-            kids.setdefault(parent, []).append(w)
-            link[w] = [0] if kind == "s" else [1]
-            down(w, 0, drop, kind)
-    return parts
+NODES = "word string, parent string, kind string, from_str string, parts array<string>"
 
 
 def test_propagation(spark):
-    nodes = [
-        ("giving", "give", "s", "ing", ["giv", "ing"]), ("givings", "giving", "s", "s", ["giving", "s"]), ("regivings", "givings", "p", "re", ["re", "givings"]), ("give", None, None, None, ["give"]),
-        ("unlocked", "locked", "p", "un", ["un", "locked"]), ("locked", "lock", "s", "ed", ["lock", "ed"]), ("unlockedness", "unlocked", "s", "ness", ["unlocked", "ness"]), ("lone", None, None, None, ["lone"]),
+    """Trees worked by hand."""
+    rows = [
+        # suffixes on suffixes, then a prefix in front of all: each inner split shows in the longer words
+        ("giving", "give", "s", "ing", "giv ing", "giv ing"), ("givings", "giving", "s", "s", "giving s", "giv ing s"), ("regivings", "givings", "p", "re", "re givings", "re giv ing s"), ("give", None, None, None, "give", "give"),
+        # a suffix inside a prefixed word, and again one level down
+        ("unlocked", "locked", "p", "un", "un locked", "un lock ed"), ("locked", "lock", "s", "ed", "lock ed", "lock ed"), ("unlockedness", "unlocked", "s", "ness", "unlocked ness", "un lock ed ness"),
+        # the stem doesn't end like its parent: the parent's split stops there, and so does all below
+        ("baking", "baked", "s", "ing", "bak ing", "bak ing"), ("baked", "bake", "s", "ed", "bak ed", "bak ed"), ("bakings", "baking", "s", "s", "baking s", "bak ing s"),
+        # a split that the word didn't take leaves later parts without a counterpart
+        ("abcd", "abc", "s", "d", "abc d", "a b c d"), ("abc", "ab", "s", "c", "ab c", "a b c"), ("ab", "a", "s", "b", "a b", "a b"), ("a", None, None, None, "a", "a"),
+        # nothing is left of a part that is the affix itself
+        ("sss", "ss", "s", "s", "ss s", "s s s"), ("ss", "s", "s", "s", "s s", "s s"), ("lone", None, None, None, "lone", "lone"),
     ]
-    df = spark.createDataFrame(nodes, "word string, parent string, kind string, from_str string, parts array<string>")
-    got = {r["word"]: r["parts"] for r in preseg.propagated(df).collect()}
-    assert got == plain_propagation(nodes)
-    assert got["givings"] == ["giv", "ing", "s"] and got["lone"] == ["lone"]
-    assert Counter(len(x) for x in got.values())[1] == 2
-
-
-def test_replay_of_a_deep_tree():
-    nodes = [("a" * k, "a" * (k - 1), "s", "a", ["a" * (k - 1), "a"]) for k in range(2, 40)]
-    frame = pd.DataFrame(nodes, columns=["word", "parent", "kind", "from_str", "parts"]).assign(target=True)
-    got = dict(preseg.replay(frame).itertuples(index=False))
-    assert got == plain_propagation(nodes)
+    df = spark.createDataFrame([(*r[:4], r[4].split()) for r in rows], NODES)
+    assert {r["word"]: " ".join(r["parts"]) for r in preseg.propagated(df).collect()} == {r[0]: r[5] for r in rows}
+    assert preseg.propagated(df.limit(0)).count() == 0
+
+
+def test_propagation_down_a_deep_tree(spark):
+    df = spark.createDataFrame([("a" * k, "a" * (k - 1), "s", "a", ["a" * (k - 1), "a"]) for k in range(2, 14)], NODES)
+    assert {r["word"]: r["parts"] for r in preseg.propagated(df).collect()} == {"a" * k: ["a"] * k for k in range(2, 14)}
+
+
+def test_cycles_are_refused(spark):
+    vocab = spark.createDataFrame([("ab", 1), ("cd", 1), ("e", 2)], "word string, freq bigint")
+    cut = spark.createDataFrame([("ab", ["cd", "s"]), ("cd", ["ab", "t"]), ("e", ["ab", "x"])], PARTS)
+    with pytest.raises(ValueError, match="back to their own word"):
+        preseg.apply_presegs(vocab, cut)
+    longer = spark.createDataFrame([("ab", ["abc", "s"]), ("abc", ["x", "y"])], PARTS)  # a longer part, but no cycle
+    assert dict(map(tuple, preseg.apply_presegs(vocab, longer).collect())) == {"ab": 0, "cd": 1, "e": 2, "abc": 0, "s": 1, "x": 1, "y": 1}
