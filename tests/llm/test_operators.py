@@ -372,11 +372,99 @@ def test_scoring(docs, empty):
         want[key, scoring.held_out(key), len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 6)] += 1
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows) == want
     assert all(r["score"] < 0 for r in rows)
-    again = scoring.score_documents(docs, top_words=5).collect()  # more words by the join: the same sums
-    assert {(r["doc_id"], r["n_tokens"]): round(r["score"], 6) for r in again} == {(r["doc_id"], r["n_tokens"]): round(r["score"], 6) for r in rows}
+    dealt = scoring.score_documents(docs.repartition(7, "doc_id"), top_words=50).collect()  # other tasks: the same scores
+    told = lambda rs: Counter((r["doc_id"], r["n_tokens"], round(r["score"], 8)) for r in rs)
+    assert told(dealt) == told(rows)
+    few = scoring.score_documents(docs, top_words=20, coded=20).collect()  # more words by the join: the base sums stay
+    assert Counter((r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in few) == Counter((k, n, b) for k, _, _, n, _, b in want.elements())
     assert scoring.score_documents(empty).count() == 0
 
 
+def plain_mix(texts, training, coded, code, stride):
+    """Decision by decision: dictionaries of counts, a mixer and a map for each text."""
+    clip = lambda x, a: max(-a, min(a, x))
+    squash = lambda x: 1 / (1 + math.exp(-clip(x, 12)))
+    steps = []
+    for words in texts:
+        mine, names = [], [0, 0]
+        for w in [*words, None]:
+            symbol = coded + 1 if w is None else w if 0 <= w < coded else coded
+            for k in range(code.start[symbol], code.start[symbol] + code.length[symbol]):
+                mine.append((int(code.node[k]), int(code.bit[k]), names[-1], names[-2]))
+            names.append(None if w is None else w + 2)
+        steps.append(mine)
+    counts = [Counter(), Counter()]
+    for mine, train in zip(steps, training, strict=True):
+        for node, bit, a, b in mine if train else ():
+            counts[0][(a, node), bit] += 1
+            counts[1][(a, b, node), bit] += 1
+    level = lambda n: int(n > 0.5) + int(n > 2.5) + int(n > 15.5)
+    out = []
+    clear = [1 - len({c for c, _ in table}) / (1 << scoring.MOST_BITS) for table in counts]
+    for mine, train in zip(steps, training, strict=True):
+        weights, hits, total, score, waiting = {}, {}, {}, 0.0, []
+        for k, (node, bit, a, b) in enumerate(mine):
+            seen = [[table[c, y] - (train and y == bit) for y in (0, 1)] for table, c in zip(counts, ((a, node), (a, b, node)), strict=True)]
+            x = [float(code.odds[node]), *(clip(math.log((n1 + scoring.PRIOR) / (n0 + scoring.PRIOR)), scoring.CLIP) for n0, n1 in seen)]
+            gate = tuple(level(sum(n)) for n in seen)
+            two = (0, 0.3, 0.6, 0.9)[gate[1]] * clear[1]
+            one = (0, 0.3, 0.6, 0.9)[gate[0]] * clear[0] * (1 - two)
+            w = weights.setdefault(gate, [1 - one - two, one, two])
+            z = sum(p * q for p, q in zip(w, x, strict=True))
+            p, cell = squash(z), round(clip((z + 12) * 32 / 24 - 16, 16)) + 16
+            start = squash(cell * 24 / 32 - 12)
+            final = (p + (8 * start + hits.get(cell, 0)) / (8 + total.get(cell, 0))) / 2
+            score += math.log10(min(max(final if bit else 1 - final, 1 / 65536), 1))
+            waiting.append((gate, (bit - p) * scoring.RATE, x, cell, bit))
+            if (k + 1) % stride == 0:
+                for g, error, xs, c, y in waiting:
+                    weights[g] = [q + error * v for q, v in zip(weights[g], xs, strict=True)]
+                    hits[c], total[c] = hits.get(c, 0) + y, total.get(c, 0) + 1
+                waiting = []
+        out.append(score)
+    return out
+
+
+def test_mixing_of_running_text_against_brute_force(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(scoring, "STRIDE", 16)
+    rng = random.Random(4)
+    texts = [[rng.choice([0, 1, 2, 3, 5, 8, -1, rng.randrange(12)]) for _ in range(rng.randint(0, 25))] for _ in range(14)]
+    texts += [texts[3], [1, 2] * 30]
+    training = np.array([k % 5 != 1 for k in range(len(texts))])
+    code = scoring.huffman(np.array([9, 8, 7, 5, 4, 4, 2, 1, 1, 0, 6, 16]))  # ten words, the escape, the end
+    bits, tables = scoring.MOST_BITS, [np.zeros(2 << scoring.MOST_BITS, np.int64) for _ in range(2)]
+    places = [np.array(t, np.int64) for t in texts]
+    _, _, bit, *slots = scoring.text_decisions(scoring.tokens_of([p for p, t in zip(places, training, strict=True) if t], 10), code, bits)
+    for table, slot in zip(tables, slots, strict=True):
+        np.add.at(table, slot + (bit << bits), 1)
+    states = [scoring._states(t.reshape(2, -1)) for t in tables]
+    got = scoring.mix_texts(scoring.tokens_of(places, 10), len(texts), training, code, states, scoring.start_weights(states))
+    assert got == pytest.approx(plain_mix(texts, training.tolist(), 10, code, 16), abs=2e-4)
+
+
+def test_scores_against_brute_force(spark, monkeypatch):
+    """All words coded: the whole score comes from the running text's decisions."""
+    import numpy as np
+
+    monkeypatch.setattr(scoring, "LEAST_BITS", scoring.MOST_BITS)
+    rng = random.Random(12)
+    vocab = ["the", "of", "a", "word", "Text", "é"]
+    rows = [(k, " ".join(rng.choice(vocab[: rng.randint(1, 6)]) for _ in range(rng.randint(0, 12)))) for k in range(40)]
+    counts = Counter(w for k, t in rows if not scoring.held_out(k) for w in t.encode().lower().split())
+    order = sorted({w for _, t in rows for w in t.encode().lower().split()}, key=lambda w: (-counts[w], w))
+    ends = sum(not scoring.held_out(k) for k, _ in rows)
+    code = scoring.huffman(np.array([*(counts[w] for w in order), 0, ends]))
+    want = plain_mix([[order.index(w) for w in t.encode().lower().split()] for _, t in rows], [not scoring.held_out(k) for k, _ in rows], len(order), code, 512)
+    got = {r["doc_id"]: r["score"] for r in scoring.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[k] for k, _ in rows] == pytest.approx(want, abs=2e-4)
+
+
+def test_tables_grow_with_the_corpus():
+    assert [scoring.table_bits(n) for n in (0, 10**3, 10**4, 10**5)] == [12, 12, 16, 19]
+
+
 def test_bit_predictors_make_a_distribution():
     import numpy as np
 
