@@ -5,11 +5,13 @@ ledger holds the (blob, rule version) pairs that were scanned and their spans.
 A scan reads one copy of each blob that has unseen pairs, runs just the unseen
 rules on it, and joins the findings back to all paths and versions that hold
 the blob.  A rule's version is a hash of its definition, so that a changed rule
-is a new pair.
+is a new pair.  The ledger is a table that scans append to (``write_ledger``).
 
 Spans are code point offsets, end exclusive.  Matches are leftmost and
 non-overlapping within a kind: ``split`` gives the text between matches and
-``regexp_extract_all`` the matches, whose running lengths give the offsets.
+``regexp_extract_all`` the matches, each a row of its own, whose running lengths
+give the offsets: the work is linear in the number of matches.  Texts with many
+copies meet their findings in salted groups.
 Null texts count as empty.  Repeated rows (same path and text) each get the
 blob's findings; an empty table gives an empty result.
 """
@@ -19,7 +21,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import read, scratch
@@ -63,26 +65,35 @@ RULES = (
     Rule("pem", _PEM + f"(?:{_TO_END}|{_HEADERS}{_BASE64})", gate=_PEM),
 )
 SPAN = "struct<kind:string,rank:int,start:bigint,end:bigint>"
+#: A text with more than one in so many of all rows is salted (so that there are at most so many such texts), into so many groups.
+HOT_SHARE, LEAST_HOT, SALTS = 1024, 64, 256
+FEW_CUTS = 32
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def spans_sql(rule: Rule, rank: int, text: str = "_text") -> str:
-    """SQL for the array of the rule's spans in a text."""
+def _found(rule: Rule, rank: int, text: str = "_text") -> Column:
+    """struct<rank, found>: what is before each match, its length, and whether it counts."""
     p = _quoted(rule.pattern)
-    return f"""
-    CASE WHEN {text} RLIKE {_quoted(rule.gate or rule.pattern)} THEN aggregate(
-        arrays_zip(split({text}, {p}), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {rule.group})),
-        CAST(named_struct('pos', 0L, 'found', array()) AS struct<pos:bigint,found:array<{SPAN}>>),
-        (acc, x) -> CAST(named_struct(
-            'pos', acc.pos + length(x.`0`) + coalesce(length(x.`1`), 0),
-            'found', CASE WHEN length(x.`2`) >= {rule.least} AND x.`1` IS NOT NULL
-                THEN array_append(acc.found, CAST(named_struct('kind', '{rule.kind}', 'rank', {rank}, 'start', acc.pos + length(x.`0`), 'end', acc.pos + length(x.`0`) + length(x.`1`)) AS {SPAN}))
-                ELSE acc.found END) AS struct<pos:bigint,found:array<{SPAN}>>),
-        acc -> acc.found)
-    ELSE CAST(array() AS array<{SPAN}>) END"""
+    zipped = f"arrays_zip(split({text}, {p}), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {rule.group}))"
+    each = f"transform(filter({zipped}, x -> x.`1` IS NOT NULL), x -> named_struct('gap', length(x.`0`), 'len', length(x.`1`), 'counts', length(x.`2`) >= {rule.least}))"
+    none = "CAST(array() AS array<struct<gap:int,len:int,counts:boolean>>)"
+    return F.expr(f"named_struct('rank', {rank}, 'found', CASE WHEN array_contains(_todo, '{rule.version}') AND {text} RLIKE {_quoted(rule.gate or rule.pattern)} THEN {each} ELSE {none} END)")
+
+
+def _spans(picked: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob, spans of the texts (blob, _text, _todo) that have any."""
+    lists = picked.select("blob", F.explode(F.array(*(_found(r, k) for k, r in enumerate(rules)))).alias("r")).where(F.size("r.found") > 0)
+    each = lists.select("blob", "r.rank", F.posexplode("r.found").alias("no", "m")).select("blob", "rank", "no", "m.*")
+    each = each.dropDuplicates(["blob", "rank", "no"])  # the same path may hold the same text in several rows
+    before = Window.partitionBy("blob", "rank").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("gap") + F.col("len")).over(before), F.lit(0)) + F.col("gap")
+    kind = F.element_at(F.array(*(F.lit(r.kind) for r in rules)), F.col("rank") + 1)
+    placed = each.withColumn("start", start).where("counts")
+    span = F.struct(kind.alias("kind"), "rank", "start", (F.col("start") + F.col("len")).alias("end")).cast(SPAN)
+    return placed.select("blob", span.alias("s")).groupBy("blob").agg(F.collect_list("s").alias("spans"))
 
 
 def content_address(versions: DataFrame, text: str = "text") -> DataFrame:
@@ -105,13 +116,11 @@ def scan_unseen(versions: DataFrame, path: str, text: str = "text", rules: tuple
         seen = seen.groupBy("blob").agg(F.collect_set("_seen").alias("_seen"))  # at most one for each rule
         due = due.join(seen, "blob", "left").withColumn("_todo", F.array_except(every, F.coalesce("_seen", F.array().cast("array<string>")))).drop("_seen")
         due = due.where(F.size("_todo") > 0)
-    due = due.select(F.col("_path").alias("_rep"), F.col("blob").alias("_blob"), "_todo")
+    due = scratch(due.select(F.col("_path").alias("_rep"), F.col("blob").alias("_blob"), "_todo"), "unseen")
     picked = held.join(due, F.col("_path").eqNullSafe(F.col("_rep")) & (F.col("blob") == F.col("_blob")))
-    none = f"CAST(array() AS array<{SPAN}>)"
-    found = [F.expr(f"CASE WHEN array_contains(_todo, '{r.version}') THEN {spans_sql(r, k)} ELSE {none} END") for k, r in enumerate(rules)]
-    scanned = picked.select("blob", F.col("_todo").alias("rule_versions"), F.concat(*found).alias("spans"))
-    # the same path may hold the same text in several rows: one of them stays
-    return scanned.groupBy("blob").agg(F.max("rule_versions").alias("rule_versions"), F.max("spans").alias("spans"))
+    found = _spans(picked.select("blob", "_text", "_todo"), rules)
+    scanned = due.select(F.col("_blob").alias("blob"), F.col("_todo").alias("rule_versions"))
+    return scanned.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
 
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -122,18 +131,67 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return spans.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans"))
 
 
-def secret_spans(versions: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """Every row of ``versions`` (path, blob) with the ``spans`` of its text."""
+def _runs(ledger: DataFrame) -> DataFrame:
+    """blob, ``spans``: its runs (from, to) of overlapping or touching spans, in order."""
+    each = ledger.select("blob", F.explode("spans").alias("s")).select("blob", "s.start", "s.end")
+    earlier = Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    marked = each.withColumn("opens", F.coalesce(F.col("start") > F.max("end").over(earlier), F.lit(True)).cast("int"))
+    upto = Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    runs = marked.withColumn("run", F.sum("opens").over(upto)).groupBy("blob", "run").agg(F.min("start").alias("from"), F.max("end").alias("to"))
+    return runs.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("spans"))
+
+
+FOUND = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+
+
+def _joined_back(rows: DataFrame, blob: str, found: DataFrame, spread: Column, addresses: DataFrame) -> DataFrame:
+    """``rows`` with the ``_spans`` (``spans`` of ``found``) of their blob, or null; ``addresses``: the ``blob`` of each row.
+
+    Blobs of very many rows, a bounded number of them, are told to every task; their rows are salted by ``spread``.
+    """
+    counts = addresses.groupBy(F.col("blob").alias("_hot")).agg(F.count("*").alias("_n"))
+    counts = scratch(counts.where(F.col("_n") >= LEAST_HOT), "copies")
+    least = max(LEAST_HOT, -(-addresses.count() // HOT_SHARE))
+    hot = counts.where(F.col("_n") >= least).select("_hot")  # at most HOT_SHARE rows
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = rows.join(F.broadcast(hot), F.col(blob) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+    each = found.join(F.broadcast(hot), F.col("blob") == F.col("_hot"), "left")
+    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    each = each.select(F.col("blob").alias("_of"), F.col("spans").alias("_spans"), F.explode(salts).alias("_for"))
+    return dealt.join(each, (F.col(blob) == F.col("_of")) & (F.col("_salt") == F.col("_for")), "left").drop("_of", "_for", "_salt")
+
+
+def scan(versions: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every row of ``versions`` (path, blob) with the ``spans`` of its text, and the rows that the ledger gains by this scan."""
     new = scratch(scan_unseen(versions, path, text, rules, ledger), "ledger")
-    current = {r.version for r in rules}
+    whole = new
     if ledger is not None:
         # spans of rules whose definition has changed since don't count
+        current = [r.version for r in rules]
         kinds = F.transform(F.filter("rule_versions", lambda v: v.isin(*current)), lambda v: F.substring_index(v, "@", 1))
         old = ledger.withColumn("spans", F.filter("spans", lambda s: F.array_contains(kinds, s["kind"])))
-        new = old.select("blob", "rule_versions", "spans").unionByName(new)
-    found = findings(new, rules)
-    rows = content_address(versions, text).select(F.col(path), "blob")
-    return rows.join(found, "blob", "left").select(path, "blob", F.coalesce("spans", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")).alias("spans"))
+        whole = old.select("blob", "rule_versions", "spans").unionByName(new)
+    rows = scratch(content_address(versions, text).select(F.col(path), "blob"), "addresses")
+    joined = _joined_back(rows, "blob", findings(whole, rules), F.col(path), rows)
+    return joined.select(path, "blob", F.coalesce("_spans", F.array().cast(FOUND)).alias("spans")), new
+
+
+def secret_spans(versions: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
+    """Every row of ``versions`` (path, blob) with the ``spans`` of its text."""
+    return scan(versions, path, text, rules, ledger)[0]
+
+
+def write_ledger(new: DataFrame, folder: str) -> None:
+    """Append a scan's rows to a ledger kept as Parquet."""
+    new.select("blob", "rule_versions", "spans").write.mode("append").parquet(folder)
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger in a folder; one that holds nothing yet if the folder is absent."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], f"blob string, rule_versions array<string>, spans array<{SPAN}>")
+    return spark.read.parquet(folder)
 
 
 def redact(docs: DataFrame, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
@@ -144,19 +202,22 @@ def redact(docs: DataFrame, path: str = "doc_id", text: str = "text", rules: tup
     new = scratch(scan_unseen(docs, path, text, rules), "ledger")
     whole = F.coalesce(F.col(text), F.lit(""))
     held = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"), F.sha2(whole.cast("binary"), 256).alias("_blob"))
-    found = findings(new, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    state = "struct<at:bigint,out:string>"
-    cut = f"""aggregate(_spans, CAST(named_struct('at', 0L, 'out', '') AS {state}),
-        (acc, s) -> CASE WHEN s.`end` <= acc.at THEN acc
-            WHEN s.start < acc.at OR (s.start = acc.at AND acc.at > 0) THEN CAST(named_struct('at', s.`end`, 'out', acc.out) AS {state})
-            ELSE CAST(named_struct('at', s.`end`, 'out', concat(acc.out, substring(_text, CAST(acc.at + 1 AS int), CAST(s.start - acc.at AS int)), {_quoted(mark)})) AS {state}) END,
-        acc -> concat(acc.out, substring(_text, CAST(acc.at + 1 AS int), length(_text))))"""
-    joined = held.join(found, "_blob", "left").withColumn("_clean", F.expr(f"CASE WHEN _spans IS NULL THEN _text ELSE {cut} END"))
+    addresses = scratch(content_address(docs, text).select("blob"), "addresses")
+    # few cuts count code points from the start; many go over the text's characters once
+    upto, since = "CAST(r.from - CASE WHEN i = 0 THEN 0 ELSE _spans[i - 1].to END AS int)", "CAST(CASE WHEN i = 0 THEN 1 ELSE _spans[i - 1].to + 1 END AS int)"
+    last = "CAST(_spans[size(_spans) - 1].to + 1 AS int)"
+    few = f"concat(array_join(transform(_spans, (r, i) -> concat(substring(_text, {since}, {upto}), {_quoted(mark)})), ''), substring(_text, {last}, length(_text)))"
+    many = f"transform(array(split(_text, '')), c -> concat(array_join(transform(_spans, (r, i) -> concat(array_join(slice(c, {since}, {upto}), ''), {_quoted(mark)})), ''), array_join(slice(c, {last}, size(c)), '')))[0]"
+    cut = f"CASE WHEN size(_spans) <= {FEW_CUTS} THEN {few} ELSE {many} END"
+    joined = _joined_back(held, "_blob", _runs(new), F.col(f"_doc.{path}"), addresses).withColumn("_clean", F.expr(f"CASE WHEN _spans IS NULL THEN _text ELSE {cut} END"))
     return joined.select(*(F.col("_clean").alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_spans(read(spark, sf_dir, "documents"), "doc_id")
+    # two scans: the ledger that an earlier one of half the paths left saves the second the blobs it has seen
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    earlier = scan_unseen(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), "doc_id")
+    found, _ = scan(docs, "doc_id", ledger=scratch(earlier, "earlier-ledger"))
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     base = F.filter("spans", lambda x: x["rank"] < len(BASE_RULES))
     return found.select(

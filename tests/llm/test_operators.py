@@ -146,6 +146,31 @@ def test_ledger_scans_only_what_is_unseen(spark, docs):
     assert {s["end"] - s["start"] for r in secrets.secret_spans(docs, "doc_id", rules=changed, ledger=first).collect() for s in r["spans"]} == {len(m) for _, t, *_ in ROWS for m in re.findall("[0-9a-f]{17,}", t or "")}
 
 
+def test_ledger_in_a_folder(spark, docs, tmp_path):
+    folder = str(tmp_path / "ledger")
+    found, new = secrets.scan(docs, "doc_id", rules=secrets.BASE_RULES, ledger=secrets.read_ledger(spark, folder))
+    secrets.write_ledger(new, folder)
+    more, new = secrets.scan(docs, "doc_id", ledger=secrets.read_ledger(spark, folder))
+    assert all(len(r["rule_versions"]) == len(secrets.RULES) - 3 for r in new.collect())
+    secrets.write_ledger(new, folder)
+    again, new = secrets.scan(docs, "doc_id", ledger=secrets.read_ledger(spark, folder))
+    assert new.count() == 0
+    told = lambda df: bag((r["doc_id"], str(r["spans"])) for r in df.collect())
+    assert told(more) == told(again) == told(secrets.secret_spans(docs, "doc_id"))
+
+
+def test_secrets_in_a_text_of_many_matches(spark, monkeypatch):
+    """20,000 hex runs in one text: rows, not growing arrays; and a text with so many copies that it is salted."""
+    monkeypatch.setattr(secrets, "LEAST_HOT", 8)
+    text = " ".join(f"{k:016x}" for k in range(20_000))
+    docs = spark.createDataFrame([(0, text)] + [(k, "token: abcdefghijklmnop") for k in range(1, 40)] + [(50, None)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.secret_spans(docs, "doc_id").collect()}
+    assert [(s["start"], s["end"]) for s in found[0]] == [(17 * k, 17 * k + 16) for k in range(20_000)]
+    assert all(len(found[k]) == 1 for k in range(1, 40)) and found[50] == []
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean[0] == " ".join(["[SECRET]"] * 20_000) and clean[7] == "[SECRET]" and clean[50] is None
+
+
 def plain_targets(sizes):
     weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(sorted(sizes, key=lambda x: (x is None, x or "")))}
     total, fixed = sum(sizes.values()), {}
@@ -217,9 +242,21 @@ def test_pii_checks_and_context():
     assert [s.kind for s in near] == ["ssn"] and far == []
     text = "my card: 4111111111111111"
     assert pii.find_pii(text)[0].score > pii.find_pii("order 4111111111111111")[0].score
+    assert pii.find_pii("4111111111111111 is my card")[0].score > pii.find_pii("4111111111111111 is mine")[0].score
+    assert [(s.kind, s.start, s.end) for s in pii.find_pii("pay by amex 378282246310005 now")] == [("shortcard", 12, 27)] and pii.find_pii("378282246310005") == []
     assert pii.digest(text) == hashlib.sha256(b"card:9:25").hexdigest()
 
 
+def test_pii_base_columns_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(pii.BASE_SQL).fetchall()
+    got = pii.query(spark, "/root/testdata/sf0.001").select("doc_id", *(f"n_{k}" for k in pii.BASE_KINDS), "base_sha256")
+    assert bag(got.collect()) == bag(want)
+
+
 @pytest.mark.parametrize("after", ["", " BIC COBADEFFXXX", " 2024", " I sent", ", then", " by", " DE89370400440532013000"])
 def test_iban_ends_with_its_country_length(after):
     for iban in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"):
