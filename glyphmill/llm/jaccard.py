@@ -48,6 +48,8 @@ from .components import components
 CELLS = 1 << 20
 #: Lists of more documents than this make a pair once only, at the cost of carrying their documents' prefixes.
 LONG_LIST = 128
+#: Documents of a long list in one part of it: a list of any length is compared in parts of this size.
+LIST_PART = 512
 #: The longest multi-match, and the cost of verifying a candidate in probed rows.
 LONGEST, VERIFY_COST = 8, 8.0
 
@@ -165,7 +167,10 @@ def _texts(pairs: DataFrame, held: DataFrame, keyed: DataFrame) -> DataFrame:
 
 
 def _open_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) to verify of lists (token, rep, n, ell, component, main, long) with several components."""
+    """The pairs (u, v) to verify of lists (token, rep, n, ell, component, main, long, parts) with several components.
+
+    A long list's documents are dealt to ``parts`` parts; those outside its main component, which all pairs need, meet every part.
+    """
     # what a document has in long lists and in short ones: at most its prefix
     has = open_.groupBy("rep").agg(F.collect_list(F.when(F.col("long"), F.col("token"))).alias("tokens"), F.count_if(~F.col("long")).alias("short_n"))
     has = scratch(has.withColumn("long_n", F.size("tokens")), "open-prefixes")
@@ -178,12 +183,13 @@ def _open_pairs(open_: DataFrame, percent: int) -> DataFrame:
     def apart(rows: DataFrame, *more: str) -> DataFrame:
         """Pairs of a list in different components: one of them is not of the list's main component."""
         columns = ("rep", "n", "ell", "component", "main", "elsewhere", *more)
-        side = lambda x: rows.select(F.col("token").alias(f"token_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-        rule = f"token_a = token_b AND {one} AND {other}"
+        every, mine = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.pmod(F.xxhash64("rep"), "parts").cast("int")
+        side = lambda x, part: rows.where("component <> main" if x == "a" else "true").select(F.col("token").alias(f"token_{x}"), part.alias(f"part_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+        rule = f"token_a = token_b AND part_a = part_b AND {one} AND {other}"
         if more:  # once for each pair, and only where its prefixes agree often enough
             common = "array_intersect(tokens_a, tokens_b)"
             rule += f" AND {enough.replace('{c}', f'size({common})')} AND array_min({common}) = token_a"
-        return side("a").where("component_a <> main_a").join(side("b"), F.expr(rule)).withColumns({"u": F.least("rep_a", "rep_b"), "v": F.greatest("rep_a", "rep_b")})
+        return side("a", every).join(side("b", mine), F.expr(rule)).withColumns({"u": F.least("rep_a", "rep_b"), "v": F.greatest("rep_a", "rep_b")})
 
     # a pair's first side differs from list to list: from here on a is u and b is v
     own = lambda c, x, y: F.min(F.when(F.col("rep_a") == F.col("u"), F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))).alias(f"{c}_{x}")
@@ -231,7 +237,7 @@ def _linked(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple
     release(spark)
     count = spread.groupBy("token", "component").agg(F.count("*").alias("c"))
     main = count.groupBy("token").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("kinds"), F.sum("c").alias("length")).where("kinds > 1")
-    main = scratch(main.select("token", F.col("m.component").alias("main"), (F.col("length") > LONG_LIST).alias("long")), "split-tokens")
+    main = scratch(main.select("token", F.col("m.component").alias("main"), (F.col("length") > LONG_LIST).alias("long"), F.when(F.col("length") > LONG_LIST, F.ceil(F.col("length") / LIST_PART)).otherwise(1).cast("int").alias("parts")), "split-tokens")
     open_ = scratch(spread.join(main, "token"), "open-lists")
     drop_scratch(spread)
     release(spark)

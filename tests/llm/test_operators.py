@@ -362,11 +362,43 @@ def test_pairs_keep_each_documents_own_size(spark):
     """100 shingles, and 113 that hold them: linked at 85 by four shared prefix shingles, whichever side of its list each is."""
     rows = []
     for token, main in ((1, 10), (2, 20), (3, 10), (4, 30)):
-        rows += [(token, rep, n, 1, rep, main, False) for rep, n in ((10, 100), (20, 113))]
-    lists = spark.createDataFrame(rows, "token bigint, rep bigint, n bigint, ell int, component bigint, main bigint, long boolean")
+        rows += [(token, rep, n, 1, rep, main, False, 1) for rep, n in ((10, 100), (20, 113))]
+    lists = spark.createDataFrame(rows, "token bigint, rep bigint, n bigint, ell int, component bigint, main bigint, long boolean, parts int")
     assert [tuple(r) for r in jaccard._open_pairs(lists, 85).collect()] == [(10, 20)]
 
 
+def clusters(seed):
+    """Edited copies of several texts: longer ones, shorter ones, pieces moved in, and texts that share many words."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(400)}"
+    bases = [[word() for _ in range(rng.randint(20, 120))] for _ in range(6)]
+    texts = []
+    for _ in range(70):
+        t = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(len(t))] = word()
+        t = t[rng.randint(0, 4) :] + [word() for _ in range(rng.choice([0, 0, 3, 12]))]
+        texts.append(" ".join(t))
+    return list(enumerate(texts))
+
+
+def test_links_do_not_depend_on_long_lists(spark, monkeypatch):
+    """A text, one shorter, one that holds it and one that holds most of that, among longer texts that share its words."""
+    first = [f"w{k}" for k in range(103)]
+    third = first + [f"x{k}" for k in range(17)]
+    rows = [(1, first), (2, first[2:]), (3, third), (4, third[1:5] + third[3:])]
+    rows += [(10 + k, (first if k < 18 else first[6:]) + [f"y{k}_{j}" for j in range(300)]) for k in range(24)]
+    rows = [(k, " ".join(w)) for k, w in rows]
+    every = rows + [(100 + k, t) for k, t in clusters(5)]
+    want = plain_components(every, 4, 85)
+    assert {c for k, _, c in want if k in (1, 2, 3, 4)} == {1}
+    docs = spark.createDataFrame(every, "doc_id bigint, text string")
+    monkeypatch.setattr(jaccard, "LIST_PART", 5)
+    for long_list in (0, 128):
+        monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
+        assert bag(jaccard.near_duplicates(docs, k=4, percent=85).collect()) == want
+
+
 def test_texts_of_one_key(spark):
     """A key's texts are linked each on its own words, and unlike ones are kept."""
     rng = random.Random(8)
