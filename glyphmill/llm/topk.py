@@ -1,13 +1,16 @@
 """Exact top-k inner product search by block-at-a-time pruning.
 
-Vectors are cut into shards of about ``SHARD_ROWS`` (by a hash of the id) and
-each shard, ordered by the nearest of a few centres, into blocks of
+Vectors are cut into shards of at most about ``SHARD_ROWS`` (by a hash of the id;
+small tables into more and smaller ones, up to ``FEW_SHARDS``) and each shard, ordered by the nearest of a few centres, into blocks of
 ``BLOCK_ROWS``.  A block has a forward index (its vectors) and for each
 dimension the largest and smallest component.  A query visits a shard's blocks
 in falling order of their bound, the sum over dimensions of what the extreme
 component can give, and stops when the bound falls below its k-th score so
-far.  Queries travel in batches; each batch meets each shard once, and only the
-k best of a shard go on.  The centres come from at most ``SAMPLE`` vectors of
+far.  Queries travel in groups of up to ``GROUP_ROWS``; each group meets each shard
+once, so that what is sent is rows and queries, each as often as the other side has
+groups, in the narrowest integers that hold them.  Only the k best of a shard go on.
+Blocks are skipped where like vectors lie together; where the components are
+independent noise the bounds say little and most blocks are scored.  The centres come from at most ``SAMPLE`` vectors of
 the shard and decide only the order, never the result.
 
 Components are turned into floor(scale * x); the scores are exact integers.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._shared import read, scratch
 
-SHARD_ROWS, BLOCK_ROWS, BATCH_ROWS, SAMPLE, CENTRES = 65_536, 64, 256, 2048, 128
+SHARD_ROWS, FEW_SHARDS, LEAST_SHARD, BLOCK_ROWS, GROUP_ROWS, SAMPLE, CENTRES = 65_536, 64, 4096, 64, 32_768, 2048, 128
 
 
 def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
@@ -60,14 +63,17 @@ def _bounds(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum.reduceat(matrix, starts, axis=0), np.minimum.reduceat(matrix, starts, axis=0)
 
 
-def _packed(frame: pd.DataFrame, ordered: bool) -> tuple[bytes, bytes]:
+def _packed(frame: pd.DataFrame, ordered: bool) -> tuple[bytes, str, bytes]:
+    """Ids, and the matrix with the type of its integers."""
     frame = frame.sort_values("id", kind="stable")
     matrix = np.array(frame["q"].tolist(), np.int64).reshape(len(frame), -1)
     ids = frame["id"].to_numpy(np.int64)
     if ordered:
         order = _order(matrix)
         matrix, ids = matrix[order], ids[order]
-    return ids.tobytes(), matrix.tobytes()
+    low, high = (int(matrix.min()), int(matrix.max())) if matrix.size else (0, 0)
+    kind = next(t for t in ("int16", "int32", "int64") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return ids.tobytes(), kind, matrix.astype(kind).tobytes()
 
 
 def _exact(queries: np.ndarray, matrix: np.ndarray) -> type:
@@ -76,8 +82,8 @@ def _exact(queries: np.ndarray, matrix: np.ndarray) -> type:
     return np.float64 if top[0] * top[1] * max(1, queries.shape[1]) < 1 << 53 else object
 
 
-def search_shard(queries: np.ndarray, query_ids: np.ndarray, matrix: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its row, and the ids and scores of its k best in the shard (ties to smaller ids)."""
+def search_shard(queries: np.ndarray, query_ids: np.ndarray, matrix: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """For each query: its row, the ids and scores of its k best in the shard (ties to smaller ids), and how many blocks were scored."""
     kind = _exact(queries, matrix)
     m, qs = matrix.astype(kind), queries.astype(kind)
     high, low = _bounds(m) if m.shape[1] else (np.zeros((-(-len(m) // BLOCK_ROWS), 0)),) * 2
@@ -95,45 +101,52 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, matrix: np.ndarray,
                 s, i = s[keep], i[keep]
             top = np.lexsort((i, -s))[:k]
             best_s, best_i, at, step = s[top], i[top], at + step, min(2 * step, 64)
-        yield row, best_i, best_s
+        yield row, best_i, best_s, min(at, len(order))
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best vectors of another id.  Both frames as from ``quantised``."""
     vectors, queries = scratch(vectors, "vectors"), scratch(queries, "vector-queries")
     sizes, asked = ({r["dim"]: r["n"] for r in x.groupBy("dim").agg(F.count("*").alias("n")).collect()} for x in (vectors, queries))
-    parts = lambda counts, rows: F.create_map(*(F.lit(x) for d, n in counts.items() for x in (d, -(-n // rows)))) if counts else F.create_map(F.lit(0), F.lit(1))
-    shards, batches = parts(sizes, SHARD_ROWS), parts(asked, BATCH_ROWS)
+    shards = {d: max(-(-n // SHARD_ROWS), min(-(-n // LEAST_SHARD), FEW_SHARDS)) for d, n in sizes.items()}
+    groups = {d: -(-n // GROUP_ROWS) for d, n in asked.items()}
+    told = lambda counts: F.create_map(*(F.lit(x) for kv in (counts or {0: 1}).items() for x in kv))
 
     def bundle(ordered: bool):
         def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            ids, matrix = _packed(frame, ordered)
-            return pd.DataFrame({"dim": [key[0]], "part": [key[1]], "ids": [ids], "matrix": [matrix]})
+            ids, kind, matrix = _packed(frame, ordered)
+            return pd.DataFrame({"dim": [key[0]], "part": [key[1]], "ids": [ids], "kind": [kind], "matrix": [matrix]})
 
         return run
 
-    def bundled(frame: DataFrame, count, ordered: bool) -> DataFrame:
-        dealt = frame.withColumn("part", F.pmod(F.xxhash64("id", "q"), count[F.col("dim")]).cast("int"))
-        return dealt.groupBy("dim", "part").applyInPandas(bundle(ordered), "dim int, part int, ids binary, matrix binary")
+    def bundled(frame: DataFrame, counts: dict[int, int], ordered: bool) -> DataFrame:
+        dealt = frame.withColumn("part", F.pmod(F.xxhash64("id", "q"), told(counts)[F.col("dim")]).cast("int"))
+        return dealt.groupBy("dim", "part").applyInPandas(bundle(ordered), "dim int, part int, ids binary, kind string, matrix binary")
 
     index = scratch(bundled(vectors, shards, True), "vector-shards")
-    asking = bundled(queries, batches, False).where(F.col("dim").isin(list(sizes))).select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("part").alias("batch"))
-    asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), shards[F.col("dim")] - 1)))
-    n = sum(-(-sizes.get(d, 0) // SHARD_ROWS) * -(-m // BATCH_ROWS) for d, m in asked.items())
-    tiles = asking.join(index, ["dim", "part"]).repartition(max(1, min(n, 100_000)), "dim", "part", "batch")
+    asking = scratch(bundled(queries, groups, False), "query-groups").where(F.col("dim").isin(list(sizes)))
+    asking = asking.select("dim", F.col("ids").alias("q_ids"), F.col("kind").alias("q_kind"), F.col("matrix").alias("q_matrix"), F.col("part").alias("group"))
+    asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), told(shards)[F.col("dim")] - 1)))
+    n = sum(shards.get(d, 0) * m for d, m in groups.items())
+    tiles = asking.join(index, ["dim", "part"]).repartition(max(1, min(n, 100_000)), "dim", "part", "group")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for t in frame.itertuples():
                 ids, q_ids = np.frombuffer(t.ids, np.int64), np.frombuffer(t.q_ids, np.int64)
-                matrix, q = np.frombuffer(t.matrix, np.int64).reshape(len(ids), -1), np.frombuffer(t.q_matrix, np.int64).reshape(len(q_ids), -1)
-                found = list(search_shard(q, q_ids, matrix, ids, k))
-                yield pd.DataFrame({
-                    "query_id": np.repeat(q_ids, [len(i) for _, i, _ in found]), "variant": np.repeat([zlib.crc32(q[r].tobytes()) for r, _, _ in found], [len(i) for _, i, _ in found]),
-                    "vec_id": np.concatenate([i for _, i, _ in found]) if found else [], "score": np.concatenate([[int(x) for x in s] for _, _, s in found]) if found else [],
-                }).astype("int64")
-
-    hits = tiles.select("ids", "matrix", "q_ids", "q_matrix").mapInPandas(search, "query_id long, variant long, vec_id long, score long")
+                matrix, q = np.frombuffer(t.matrix, t.kind).reshape(len(ids), -1), np.frombuffer(t.q_matrix, t.q_kind).reshape(len(q_ids), -1)
+                out = []
+                for r, i, s, _ in search_shard(q, q_ids, matrix, ids, k):
+                    out.append((q_ids[r], zlib.crc32(q[r].astype(np.int64).tobytes()), i, s))
+                    if len(out) == 1024 or r == len(q) - 1:
+                        counts = [len(x[2]) for x in out]
+                        yield pd.DataFrame({
+                            "query_id": np.repeat([x[0] for x in out], counts), "variant": np.repeat([x[1] for x in out], counts),
+                            "vec_id": np.concatenate([x[2] for x in out]), "score": np.concatenate([[int(y) for y in x[3]] for x in out]),
+                        }).astype("int64")
+                        out = []
+
+    hits = tiles.select("ids", "kind", "matrix", "q_ids", "q_kind", "q_matrix").mapInPandas(search, "query_id long, variant long, vec_id long, score long")
     best = Window.partitionBy("query_id", "variant").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
