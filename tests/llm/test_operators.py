@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.llm import jaccard, licences, mixing, packing, pii, quality, scoring, secrets, topk, toxicity
 
@@ -602,6 +603,65 @@ def test_top_k(spark):
     assert topk.exact_top_k(none, none).count() == 0
 
 
+def test_blocks_are_skipped_among_clusters():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 64, (40, 16))
+    matrix = np.floor(centres[np.repeat(np.arange(40), 200)] + rng.normal(0, 4, (8000, 16))).astype(np.int16)
+    order = topk._order(matrix[rng.permutation(8000)].astype(np.int64))
+    assert sorted(order.tolist()) == list(range(8000))
+    mixed = matrix[rng.permutation(8000)]
+    mixed = mixed[topk._order(mixed.astype(np.int64))]
+    scored = [b for *_, b in topk.search_shard(mixed[:50], np.full(50, -1), mixed, np.arange(8000), 20)]
+    assert sum(scored) < 0.5 * 50 * 125  # of 125 blocks for each query
+
+
+def test_toxicity_fit_against_plain_newton():
+    """The sparse fit and the chain's out-of-fold inputs against dense algebra."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = (rng.random((240, 9)) < 0.3).astype(float)
+    labels = (x[:, :2] + 0.4 * rng.normal(0, 1, (240, 2)) + 0.5 * x[:, [2]] > 0.7).astype(int)
+    folds = np.arange(240) % toxicity.FOLDS
+
+    def newton(a, y):
+        a = np.column_stack([a, np.ones(len(a))])
+        w, ridge = np.zeros(a.shape[1]), np.diag([1.0] * (a.shape[1] - 1) + [0])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-a @ w))
+            w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (p - y) + ridge @ w)
+        return w
+
+    def chosen(a, y):
+        n = len(y)
+        out = []
+        for k in range(9):
+            g = 0.0
+            for u in (0, 1):
+                for v in (0, 1):
+                    seen, expected = ((a[:, k] == u) & (y == v)).sum(), (a[:, k] == u).sum() * (y == v).sum() / n
+                    g += seen * math.log(seen / expected) if seen else 0
+            out.append(g >= toxicity.TELLING and a[:, k].sum() >= toxicity.LEAST_DOCS)
+        return np.array(out)
+
+    row, column = np.nonzero(x)
+    chain = toxicity.train_chain(toxicity.Sparse(row, column, x.shape, np.zeros((240, 0))), labels, folds, np.arange(9))
+    extra = np.zeros((240, 0))
+    for k, model in enumerate(chain.models):
+        keep, unseen = chosen(x, labels[:, k]), np.zeros(240)
+        for f in range(toxicity.FOLDS):
+            o = folds == f
+            mine = chosen(x[~o], labels[~o, k])
+            w = newton(np.column_stack([x[:, mine], extra])[~o], labels[~o, k])
+            unseen[o] = np.column_stack([x[:, mine], extra])[o] @ w[:-1] + w[-1]
+        w = newton(np.column_stack([x[:, keep], extra]), labels[:, k])
+        assert model.weights[np.concatenate([keep, np.ones(k, bool)])] == pytest.approx(w[:-1], abs=2e-3)
+        assert model.constant == pytest.approx(w[-1], abs=2e-3) and not model.weights[:9][~keep].any()
+        extra = np.column_stack([extra, unseen])
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(6)
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
@@ -620,6 +680,13 @@ def test_toxicity(spark, empty):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     marks = spark.createDataFrame(labels, "doc_id bigint, toxic int, severe int")
     chain = toxicity.learn(docs, marks)
+    # repeated rows and labels, a very long text, and columns that clash with the operator's own
+    odd = docs.withColumns({"n": F.lit(1), "word": F.lit("x"), "_fold": F.lit(9)}).unionByName(docs.where("doc_id = 0").withColumns({"n": F.lit(1), "word": F.lit("x"), "_fold": F.lit(9)}))
+    clash = marks.unionByName(marks.where("doc_id < 9")).selectExpr("doc_id", "toxic AS n", "severe AS word")
+    same = toxicity.learn(odd, clash)
+    assert all((a.weights == b.weights).all() for a, b in zip(chain.models, same.models, strict=True))
+    long = spark.createDataFrame([(1, "vile " * 50_000), (1, "vile")], "doc_id bigint, text string")
+    assert len({r["p_toxic"] for r in toxicity.score(long, chain, ("toxic", "severe")).collect()}) == 1
     got = {r["doc_id"]: r for r in toxicity.score(docs, chain, ("toxic", "severe")).collect()}
     assert len(got) == len(rows)
     right = sum(got[k]["is_toxic"] == (k % 4 == 0) for k in range(1, 400, 2)) + sum(got[k]["is_toxic"] == (k % 4 == 0) for k in range(0, 400, 2))
