@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ._shared import read, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK, SEED, MAX_COPIES = 64, 20240229, 3
+CHUNK, SEED, MAX_COPIES, BLOCK = 64, 20240229, 3, 4096
 
 
 def sized(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
 ITEM = "struct<key:{key},size:bigint,no:bigint,mass:double>"
 
 
-def _fold(kind: str) -> str:
+def _fold(kind: str, seed: int = SEED) -> str:
     """SQL: reduce ``items`` to ``rest`` (the residual) and ``done`` (items with 1 or 0 copies more)."""
     item = ITEM.format(key=kind)
     done = f"struct<key:{kind},size:bigint,no:bigint,more:int>"
@@ -68,7 +68,7 @@ def _fold(kind: str) -> str:
 
     a, x = "acc.rest", "x"
     up, down = f"least({a}.size - {a}.mass, {x}.mass)", f"least({a}.mass, {x}.size - {x}.mass)"
-    draw = f"shiftrightunsigned(xxhash64({a}.key, {a}.no, {x}.key, {x}.no, {SEED}L), 11) / 9007199254740992D"
+    draw = f"shiftrightunsigned(xxhash64({a}.key, {a}.no, {x}.key, {x}.no, {seed}L), 11) / 9007199254740992D"
     return f"""aggregate(slice(items, 2, size(items)), CAST(named_struct('rest', items[0], 'done', array()) AS {state}),
         (acc, x) -> CASE WHEN {a}.mass <= 0 THEN {keep(x, f"{x}.mass", a, 0)}
             WHEN {a}.mass >= {a}.size THEN {keep(x, f"{x}.mass", a, 1)}
@@ -79,7 +79,7 @@ def _fold(kind: str) -> str:
             ELSE {keep(a, f"{a}.mass - ({x}.size - {x}.mass)", x, 1)} END)"""
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, chunk: int = CHUNK) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
     """One row per document row: key, source, ``size``, ``no`` (among equal rows), ``source_size``, ``target``, ``copies``."""
     kind = docs.schema[key].dataType.simpleString()
     sizes = scratch(sized(docs, key, source, text), "mix-sizes")
@@ -87,7 +87,10 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rates = targets.select(F.col("_source").alias("_s"), "source_size", "target", F.floor(per).alias("whole"), (per - F.floor(per)).alias("part"))
     rows = sizes.join(rates, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.select("_key", "_source", "size", F.explode(F.sequence(F.lit(1), "n")).alias("no"), "part")
+    # equal rows one by one, in arrays of bounded size however many there are
+    blocks = rows.select("_key", "_source", "size", "n", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) DIV {BLOCK}"))).alias("b"))
+    in_block = F.sequence(F.col("b") * BLOCK + 1, F.least((F.col("b") + 1) * BLOCK, F.col("n")))
+    rows = blocks.select("_key", "_source", "size", F.explode(in_block).alias("no"), "part")
     loose = (F.col("size") > 0) & (F.col("part") > 0)
     fixed = rows.where(~loose).select("_source", F.col("_key").alias("key"), "size", F.col("no").cast("long").alias("no"), F.lit(0).alias("more"))
     item = F.struct(F.col("_key").alias("key"), "size", F.col("no").cast("long").alias("no"), (F.col("part") * F.col("size")).alias("mass")).cast(ITEM.format(key=kind))
@@ -99,14 +102,14 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         if most <= 1:
             break
         chunks = many.select(F.col("_source").alias("_s"), F.ceil(F.col("many") / chunk).alias("chunks"))
-        spread = F.xxhash64("item.key", "item.no", "item.size", F.lit(SEED + level))
+        spread = F.xxhash64("item.key", "item.no", "item.size", F.lit(seed + level))
         dealt = open_.join(chunks, F.col("_source").eqNullSafe(F.col("_s"))).select("_source", F.pmod(spread, F.col("chunks")).alias("chunk"), F.struct((-F.col("item.size")).alias("s"), spread.alias("h"), "item").alias("i"))
-        folded = dealt.groupBy("_source", "chunk").agg(F.transform(F.array_sort(F.collect_list("i")), lambda x: x["item"]).alias("items")).select("_source", F.expr(_fold(kind)).alias("f"))
+        folded = dealt.groupBy("_source", "chunk").agg(F.transform(F.array_sort(F.collect_list("i")), lambda x: x["item"]).alias("items")).select("_source", F.expr(_fold(kind, seed)).alias("f"))
         done = scratch(folded.select("_source", "f.rest", "f.done"), f"mix-level-{level}")
         decided.append(done.select("_source", F.explode("done").alias("d")).select("_source", "d.key", "d.size", "d.no", "d.more"))
         open_ = done.select("_source", F.col("rest").alias("item"))
         level += 1
-    coin = F.shiftrightunsigned(F.xxhash64("item.key", "item.no", F.lit(SEED - 1)), 11) / F.lit(float(1 << 53))
+    coin = F.shiftrightunsigned(F.xxhash64("item.key", "item.no", F.lit(seed - 1)), 11) / F.lit(float(1 << 53))
     decided.append(open_.select("_source", "item.key", "item.size", "item.no", (coin * F.col("item.size") < F.col("item.mass")).cast("int").alias("more")))
     out = decided[0]
     for d in decided[1:]:
@@ -139,3 +142,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
 
 
+#: The query's columns that SQL can express: sizes and targets, the excess shared out again until no source is above its limit.
+SIZES_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS MATERIALIZED (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
+r AS (SELECT 0 AS k, source, source_size, w, false AS fixed, 0::DOUBLE AS target FROM s
+    UNION ALL SELECT k + 1, source, source_size, w, fixed OR level * w >= 3 * source_size, CASE WHEN fixed THEN target ELSE least(level * w, 3 * source_size) END
+    FROM (SELECT *, (sum(source_size) OVER () - sum(CASE WHEN fixed THEN target ELSE 0 END) OVER ()) / greatest(sum(CASE WHEN fixed THEN 0 ELSE w END) OVER (), 1) AS level, count(*) OVER () AS n FROM r) WHERE k <= n)
+SELECT doc_id, size, source_size, target FROM d JOIN (SELECT * FROM r WHERE k = (SELECT max(k) FROM r)) t ON t.source IS NOT DISTINCT FROM d.source
+"""

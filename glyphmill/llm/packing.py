@@ -42,6 +42,8 @@ SETTINGS = ((64, 6), (96, 4), (64, 3), (64, 2))
 CACHED_WORDS = 900_000
 #: Rows in one salted group of equal lengths, about.
 GROUP_ROWS = 256
+#: Salted groups of one length whose counts are added up in one place.
+BLOCK_SALTS = 1024
 
 
 #: Latin letters that are lower-cased and composed, and end marks.
@@ -318,8 +320,11 @@ def pack(pieces: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece"), capacit
     first -= first[starts] if len(array) else 0
     salts = max(1, -(-max(counts.values(), default=1) // GROUP_ROWS))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys, *[c for c in pieces.columns if c not in keys]), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    # running counts in two levels: over the salts of a block, and over the blocks of a length
+    sums = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("_salt") / BLOCK_SALTS))
+    before = lambda order, *by: F.coalesce(F.sum("_n").over(Window.partitionBy("length", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.groupBy("length", "_block").agg(F.sum("_n").alias("_n")).withColumn("_upto", before("_block")).drop("_n")
+    offsets = sums.withColumn("_before", before("_salt", "_block")).join(blocks, ["length", "_block"]).select("length", "_salt", (F.col("_before") + F.col("_upto")).alias("_before"))
     within = Window.partitionBy("length", "_salt").orderBy(*keys, *[c for c in pieces.columns if c not in keys])
     numbered = salted.withColumn("_no", F.row_number().over(within) - 1).join(offsets, ["length", "_salt"])
     numbered = numbered.select(*pieces.columns, (F.col("_no") + F.col("_before")).cast("long").alias("_no"))

@@ -213,9 +213,36 @@ def test_mixing(docs, empty):
     assert Counter(r["doc_id"] for r in mixed.collect()) == +again and mixed.columns == docs.columns
 
 
-def test_pivotal_expectation():
-    """The fold keeps the mass: taken words differ from it by less than a document in any chunking (see test_mixing)."""
-    assert "xxhash64" in mixing._fold("bigint")
+def test_pivotal_expectation(spark):
+    """Over 240 sources of the same sizes, each with draws of its own, a document's mean copies come near target / size."""
+    sizes = [3, 40, 7, 7, 12, 1, 25, 9]
+    docs = spark.createDataFrame([(8 * s + k, " ".join(["w"] * n), f"s{s:03d}") for s in range(240) for k, n in enumerate(sizes)], "doc_id bigint, text string, source string")
+    found = {}
+    for r in mixing.mix(docs, chunk=4).collect():
+        found.setdefault((int(r["source"][1:]) % 3, r["doc_id"] % 8), []).append((r["copies"], r["target"] / r["source_size"]))
+    assert len(found) == 24 and {len(x) for x in found.values()} == {80}
+    for draws in found.values():
+        share = draws[0][1]
+        part = share - math.floor(share)
+        assert {c for c, _ in draws} <= {math.floor(share), math.ceil(share)}
+        assert abs(sum(c for c, _ in draws) / 80 - share) <= 4 * math.sqrt(part * (1 - part) / 80) + 1e-9
+
+
+def test_mixing_sizes_and_targets_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(mixing.SIZES_SQL).fetchall()
+    got = mixing.query(spark, "/root/testdata/sf0.001").select("doc_id", "size", "source_size", F.round("target", 6))
+    assert bag(got.collect()) == bag((*r[:3], round(r[3], 6)) for r in want)
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    docs = spark.createDataFrame([(None, "same words here", "a")] * 50 + [(1, "b " * 40, "b")], "doc_id bigint, text string, source string")
+    rows = mixing.mix(docs, chunk=8).collect()
+    assert Counter(r["no"] for r in rows if r["doc_id"] is None) == Counter(range(1, 51))
 
 
 def test_pii(docs, empty):
@@ -289,6 +316,18 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_places_of_equal_lengths_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 3)
+    monkeypatch.setattr(packing, "BLOCK_SALTS", 4)
+    pieces = spark.createDataFrame([(k, 0, 7 if k % 5 else 11) for k in range(200)], "doc_id bigint, piece int, length bigint")
+    fill = {}
+    for r in packing.pack(pieces, capacity=32).collect():
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sum(map(len, fill.values())) == 200
+    for places in fill.values():
+        assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 32
+
+
 def test_encoder_on_awkward_texts():
     enc = packing.encoder(None)
     for t in ("İstanbul ǅ Straße ΑΣ don't WE'LL á éx क़ Ω K ſ x<|endoftext|>y <|ENDOFTEXT|> a\x1cb\x85c d　e १२ ½ 中文 ... ?! a.b.c. word,, ÉCOLE. ŉ", "", " \n"):
