@@ -42,7 +42,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their place in sequences of 4096 tokens."""
     ship(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, cached_words=150_000)  # workers go on to other stages: they keep little
 
 
 STAGES = [

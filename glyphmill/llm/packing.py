@@ -38,7 +38,7 @@ from ._text import binary_rows
 CAPACITY, END_ID = 4096, 1
 #: (groups, large_parts) that are tried on the counts; the plan with the fewest sequences is taken.
 SETTINGS = ((64, 6), (96, 4), (64, 3), (64, 2))
-#: Texts' words whose ids an executor's Python keeps; beyond it the memory starts anew.
+#: Texts' words whose ids a Python worker keeps from task to task; beyond it the memory starts anew.
 CACHED_WORDS = 900_000
 #: Rows in one salted group of equal lengths, about.
 GROUP_ROWS = 256
@@ -110,8 +110,8 @@ class Encoder:
         for chunk, core, tail in split:
             known[chunk] = known[core] + known[tail] if tail else known[core]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > CACHED_WORDS:
+    def encode(self, texts: list[bytes], cached_words: int = CACHED_WORDS) -> list[bytes]:
+        if len(self.known) > cached_words:
             self.known.clear()
         # the vocabulary has no case, but the special tokens' names have
         chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]
@@ -142,7 +142,7 @@ def encoder(path: str | None) -> Encoder:
     return _ENCODERS[path]
 
 
-def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, cached_words: int = CACHED_WORDS) -> DataFrame:
     """key, piece, start, length, ids_crc32 of each piece of at most ``capacity`` ids."""
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
@@ -150,7 +150,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capac
         enc, end = encoder(vocabulary), struct.pack("<I", END_ID)
         for batch, texts in binary_rows(batches, "_text"):
             row, out = [], []
-            for k, ids in enumerate(enc.encode(texts)):
+            for k, ids in enumerate(enc.encode(texts, cached_words)):
                 raw = memoryview(ids + end)
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
@@ -342,8 +342,9 @@ def pack(pieces: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece"), capacit
     return placed.select(*pieces.columns, "_place.sequence_id", "_place.offset")
 
 
-def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, settings: tuple[tuple[int, int], ...] = SETTINGS) -> DataFrame:
-    pieces = scratch(token_pieces(docs, key, text, capacity, vocabulary), "pieces")
+def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, settings: tuple[tuple[int, int], ...] = SETTINGS, cached_words: int = CACHED_WORDS) -> DataFrame:
+    """The documents' pieces with their places.  ``cached_words`` trades a worker's memory for time, nothing else."""
+    pieces = scratch(token_pieces(docs, key, text, capacity, vocabulary, cached_words), "pieces")
     return pack(pieces, (key, "piece"), capacity, settings)
 
 
