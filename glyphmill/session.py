@@ -10,12 +10,20 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes in one Arrow batch sent to Python.  Texts are long, and JVM and worker each hold copies of a batch; Spark's own limit is 64 MB.
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package once per application, so that its functions can be imported wherever tasks run."""
+    """Send the package once per application, so that its functions can be imported wherever tasks run.
+
+    Batches for Python are kept small, unless the session has a limit of its own.
+    """
+    if BATCH_LIMIT not in spark.conf.getAll:
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
