@@ -7,16 +7,19 @@ the empty symbol, which no word holds.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import adjacent_pairs, merge_pair, symbols
+from ..functions.text import adjacent_pairs, merge_pair, symbols, words
 from ..session import drop_scratch, scratch, ship
 from .bpe import Merge, initial_segmentation, pair_statistics, top_pairs
 
 PAD = ""
+#: Changed windows that a task holds before it sends them on.
+HELD = 200_000
 
 
 def padded(parts: Column, n: int) -> Column:
@@ -49,21 +52,27 @@ def context_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("ctx").agg(F.sum("n").alias("base"))
 
 
-def corpus_ngram_counts(corpus: DataFrame, n: int, segs: DataFrame | None = None, doc: str = "doc_id", order: str = "pos", word: str = "word") -> DataFrame:
+def running_parts(docs: DataFrame, segs: DataFrame | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """parts: the segmented words of every text that has any, in order.
+
+    Without ``segs`` the symbols of a word are its characters and texts are cut where they are read, without a shuffle.
+    With ``segs`` each row needs a key of its own; words that have no segmentation are passed over.
+    """
+    if segs is None:
+        return docs.select(F.transform(words(F.col(text)), lambda w: F.split(w, "")).alias("parts")).where(F.size("parts") > 0)
+    tokens = docs.select(F.col(doc).alias("_doc"), F.posexplode(words(F.col(text))).alias("_at", "word"))
+    each = tokens.join(segs.select("word", "parts"), "word").groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("_at", "parts"))).alias("_words"))
+    return each.select(F.transform("_words", lambda w: w["parts"]).alias("parts"))
+
+
+def corpus_ngram_counts(docs: DataFrame, n: int, segs: DataFrame | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """ctx, sym, n over running text: windows cross words, each document is padded by n at both ends.
 
-    Without ``segs`` symbols are the words' characters.  Documents are independent, so that no global order is needed.
+    Symbols as in ``running_parts``.  Documents are independent, so that no global order is needed; windows are made
+    within a row and only their partial counts are shuffled.
     """
-    rows = corpus.select(doc, order, word)
-    parts = F.split(F.col(word), "")
-    if segs is not None:
-        rows, parts = rows.join(segs.select(F.col("word").alias(word), "parts"), word), F.col("parts")
-    each = rows.select(doc, order, F.posexplode(parts).alias("at", "sym"))
-    ends = rows.select(doc).distinct().select(doc, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("at")).select(doc, F.lit(None).cast("bigint").alias(order), "at", F.lit(PAD).alias("sym"))
-    every = each.select(doc, F.col(order).cast("bigint").alias(order), "at", "sym").unionByName(ends)
-    run = Window.partitionBy(doc).orderBy(F.col(order).asc_nulls_last(), "at")
-    lagged = every.select("sym", *(F.coalesce(F.lag("sym", k).over(run), F.lit(PAD)).alias(f"b{k}") for k in range(n, 0, -1)))
-    return lagged.groupBy(F.concat_ws(" ", *(f"b{k}" for k in range(n, 0, -1))).alias("ctx"), "sym").agg(F.count("*").alias("n"))
+    whole = running_parts(docs, segs, doc, text).select(F.flatten("parts").alias("parts"))
+    return _windows(whole, F.col("parts"), n).groupBy("w.ctx", "w.sym").agg(F.count("*").alias("n"))
 
 
 def log_likelihood(counts: DataFrame) -> DataFrame:
@@ -104,15 +113,14 @@ def _deltas(changes: DataFrame, counts: DataFrame) -> DataFrame:
     return by_ctx.groupBy("l", "r").agg(F.sum(F.col("d") - (xlnx("now") - xlnx("was"))).alias("delta"))
 
 
-def text_changes(words: list[list[str]], n: int, wanted: set[tuple[str, str]] | None) -> Counter:
+def text_changes(parts: list[list[str]], n: int, wanted: set[tuple[str, str]] | None) -> Counter:
     """Signed window counts (l, r, ctx, sym) that merging each pair brings to one running text of segmented words.
 
     Occurrences of a pair that are so near that they share a window are merged together; other windows don't change.
     """
-    text = [PAD] * n + [s for w in words for s in w] + [PAD] * n
+    text = [PAD] * n + [s for w in parts for s in w] + [PAD] * n
     starts, at = {}, n
-    for w in words:
-        k = 0
+    for w in parts:
         last: dict[tuple[str, str], int] = {}
         for k in range(len(w) - 1):
             pair = (w[k], w[k + 1])
@@ -143,23 +151,32 @@ def text_changes(words: list[list[str]], n: int, wanted: set[tuple[str, str]] |
     return out
 
 
-def corpus_merge_deltas(corpus: DataFrame, n: int, candidates: DataFrame | None = None, doc: str = "doc_id", order: str = "pos", word: str = "word", segs: DataFrame | None = None) -> DataFrame:
+def corpus_merge_deltas(docs: DataFrame, n: int, candidates: DataFrame | None = None, doc: str = "doc_id", text: str = "text", segs: DataFrame | None = None) -> DataFrame:
     """l, r, delta: the change of the running-text log-likelihood for each candidate pair, or for every pair.
 
-    ``corpus`` and ``segs`` as in ``corpus_ngram_counts``.  A document is one group of rows; its changes are added up
-    before they are sent on.
+    Symbols as in ``running_parts``.  Tasks add up the changes of the documents they read before they send them on, in
+    portions of bounded size.
     """
-    ship(corpus.sparkSession)
-    counts = scratch(corpus_ngram_counts(corpus, n, segs, doc, order, word), "text-ngrams")
-    rows = corpus.select(F.col(doc).alias("d"), F.col(order).alias("o"), F.col(word).alias("word"))
-    rows = rows.join(segs.select("word", "parts"), "word") if segs is not None else rows.withColumn("parts", F.split("word", ""))
+    ship(docs.sparkSession)
+    counts = scratch(corpus_ngram_counts(docs, n, segs, doc, text), "text-ngrams")
     wanted = None if candidates is None else {(r["l"], r["r"]) for r in candidates.select("l", "r").collect()}  # a bounded parameter
 
-    def changes(frame: pd.DataFrame) -> pd.DataFrame:
-        found = text_changes([list(x) for x in frame.sort_values("o", kind="stable")["parts"]], n, wanted)
-        return pd.DataFrame([(*k, c) for k, c in found.items() if c], columns=["l", "r", "ctx", "sym", "c"])
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def told() -> pa.RecordBatch:
+            rows = [(*k, c) for k, c in held.items() if c]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 4 else pa.string()) for i in range(5)], names=["l", "r", "ctx", "sym", "c"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                held.update(text_changes(batch.column(0)[row].as_py(), n, wanted))
+                if len(held) > HELD:
+                    yield told()
+        yield told()
 
-    return _deltas(rows.groupBy("d").applyInPandas(changes, "l string, r string, ctx string, sym string, c bigint"), counts)
+    return _deltas(running_parts(docs, segs, doc, text).mapInArrow(changes, "l string, r string, ctx string, sym string, c bigint"), counts)
 
 
 def _occurrence_changes(hit: DataFrame, n: int) -> DataFrame:

@@ -466,8 +466,7 @@ _RUNNING = f"""SELECT ctx, sym, count(*)::BIGINT AS n FROM (SELECT coalesce(lag(
 
 @_query("ngram_counts_corpus", _RUNNING)
 def ngram_counts_corpus(spark, d):
-    tokens = fx.documents(spark, d).select("doc_id", F.posexplode(F.filter(F.split("text", WHITESPACE), lambda w: w != "")).alias("pos", "word"))
-    return lm.corpus_ngram_counts(tokens, N)
+    return lm.corpus_ngram_counts(fx.documents(spark, d), N)
 
 
 @_query("corpus_loglik", f"WITH c AS ({counts_sql(_SEG0)}), b AS (SELECT ctx, sum(n) AS base FROM c GROUP BY ctx) SELECT round(sum(n * ln(n / base)), 2) AS loglik FROM c JOIN b USING (ctx)")
@@ -479,44 +478,42 @@ def _loglik_sql(rows: str) -> str:
     return f"SELECT sum(n * ln(n / base)) AS ll FROM (SELECT n, sum(n) OVER (PARTITION BY ctx) AS base FROM ({counts_sql(rows)}))"
 
 
-CANDIDATES = 5
-_DELTAS = f"WITH v AS MATERIALIZED ({_V}), t AS MATERIALIZED (SELECT * FROM ({_PAIRS.format(seg='word', by='', rows='v')}) ORDER BY freq DESC, l, r LIMIT {CANDIDATES}), base AS MATERIALIZED ({_loglik_sql(_SEG0.replace(_V, 'SELECT * FROM v'))}), " + ", ".join(
-    f"p{k} AS (SELECT l, r FROM t ORDER BY freq DESC, l, r LIMIT 1 OFFSET {k}), d{k} AS MATERIALIZED (SELECT (SELECT l FROM p{k}) AS l, (SELECT r FROM p{k}) AS r, ll FROM ({_loglik_sql(f'''SELECT word, freq, string_split(trim(replace(' ' || array_to_string(string_split(word, ''), '  ') || ' ', ' ' || l || '  ' || r || ' ', ' ' || l || r || ' ')), '  ') AS p FROM v, p{k}''')}))" for k in range(CANDIDATES)
-)
+CANDIDATES = 40
+LM_MERGES = 3
 
 
-@_query("merge_deltas", _DELTAS + " SELECT l, r, round(d.ll - base.ll, 2) AS delta FROM (" + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(CANDIDATES)) + ") d, base")
+def lm_sql(words: str, n: int) -> str:
+    """CTEs: ``t_k`` the candidates before the k-th merge and ``d_k`` their changes, from counting all words anew for each; ``b_k`` the merge; ``s_k`` as in ``bpe_sql``."""
+    ctes = [f"s0 AS MATERIALIZED (SELECT word, freq, ' ' || array_to_string(string_split(word, ''), '  ') || ' ' AS seg FROM ({words}))"]
+    for k in range(n):
+        pairs = _PAIRS.format(seg="trim(seg)", by="  ", rows=f"s{k}")
+        merged = f"SELECT l, r, s.freq, string_split(trim(replace(seg, ' ' || l || '  ' || r || ' ', ' ' || l || r || ' ')), '  ') AS p FROM s{k} s, t{k}"
+        counts = f"SELECT l, r, ctx, sum(freq)::BIGINT AS n FROM ({_windows_sql(merged, 'l, r, freq')}) GROUP BY l, r, ctx, sym"
+        ctes.append(f"t{k} AS MATERIALIZED (SELECT * FROM ({pairs}) ORDER BY freq DESC, l, r LIMIT {CANDIDATES})")
+        now = f"SELECT freq, string_split(trim(seg), '  ') AS p FROM s{k}"
+        ctes.append(f"o{k} AS MATERIALIZED ({_loglik_sql(now)})")
+        ctes.append(f"d{k} AS MATERIALIZED (SELECT l, r, a.ll - o{k}.ll AS delta FROM (SELECT l, r, sum(n * ln(n / base)) AS ll FROM (SELECT l, r, n, sum(n) OVER (PARTITION BY l, r, ctx) AS base FROM ({counts})) GROUP BY l, r) a, o{k})")
+        ctes.append(f"b{k} AS MATERIALIZED (SELECT {k} AS rank, l, r, freq FROM d{k} JOIN t{k} USING (l, r) ORDER BY round(delta, 6) DESC, freq DESC, l, r LIMIT 1)")
+        ctes.append(f"s{k + 1} AS MATERIALIZED (SELECT word, s.freq, replace(seg, ' ' || l || '  ' || r || ' ', ' ' || l || r || ' ') AS seg FROM s{k} s, b{k})")
+    return "WITH " + ", ".join(ctes)
+
+
+@_query("merge_deltas", f"{lm_sql(_V, 1)} SELECT l, r, round(delta, 2) AS delta FROM d0")
 def merge_deltas(spark, d):
     segs = bpe.initial_segmentation(fx.vocab(spark, d))
     top = bpe.top_pairs(bpe.pair_statistics(segs.select("freq", symbols(F.col("seg")).alias("parts"))), CANDIDATES)
     return lm.merge_deltas(segs, N, top).select("l", "r", F.round("delta", 2).alias("delta"))
 
 
-@_query("lm_train", _DELTAS + " SELECT 0 AS rank, l, r, freq FROM (" + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(CANDIDATES)) + ") d JOIN t USING (l, r), base ORDER BY round(d.ll - base.ll, 6) DESC, freq DESC, l, r LIMIT 1")
+@_query("lm_train", f"{lm_sql(_V, LM_MERGES)} {merges_sql(LM_MERGES)}")
 def lm_train(spark, d):
-    merges, _, _ = lm.learn_lm(fx.vocab(spark, d), 1, N, CANDIDATES)
+    merges, _, _ = lm.learn_lm(fx.vocab(spark, d), LM_MERGES, N, CANDIDATES)
     return bpe.merges_frame(spark, merges)
 
 
-_TEXT_PAIRS = f"WITH v AS MATERIALIZED ({_V}), t AS MATERIALIZED (SELECT * FROM ({_PAIRS.format(seg='word', by='', rows='v')}) ORDER BY freq DESC, l, r LIMIT 3)"
-_SYMBOLS = "string_split(trim(replace(' ' || array_to_string(string_split(w, ''), '  ') || ' ', ' ' || l || '  ' || r || ' ', ' ' || l || r || ' ')), '  ')"
-_RUNNING_MERGED = _RUNNING.replace("string_split(w, '') AS cs", f"{_SYMBOLS} AS cs").replace("AS w FROM (SELECT doc_id,", "AS w, l, r FROM (SELECT l, r, doc_id,").replace("AS ws FROM documents))))", "AS ws FROM documents, p{k}))))")
-
-
-def _text_loglik_sql(counts: str) -> str:
-    return f"SELECT sum(n * ln(n / base)) AS ll FROM (SELECT n, sum(n) OVER (PARTITION BY ctx) AS base FROM ({counts}))"
-
-
-_TEXT_DELTAS = f"{_TEXT_PAIRS}, base AS MATERIALIZED ({_text_loglik_sql(_RUNNING)}), " + ", ".join(
-    f"p{k} AS (SELECT l, r FROM t ORDER BY freq DESC, l, r LIMIT 1 OFFSET {k}), d{k} AS MATERIALIZED (SELECT (SELECT l FROM p{k}) AS l, (SELECT r FROM p{k}) AS r, ll FROM ({_text_loglik_sql(_RUNNING_MERGED.replace('{k}', str(k)))}))" for k in range(3)
-)
-
-
-@_query("corpus_merge_deltas", _TEXT_DELTAS + " SELECT l, r, round(d.ll - base.ll, 2) AS delta FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2) d, base")
+@_query("corpus_merge_deltas")  # every pair of the running text: too much for SQL, tests compare with counting anew
 def corpus_merge_deltas(spark, d):
-    tokens = fx.documents(spark, d).select("doc_id", F.posexplode(F.filter(F.split("text", WHITESPACE), lambda w: w != "")).alias("pos", "word"))
-    top = bpe.top_pairs(bpe.pair_statistics(fx.vocab(spark, d).select("freq", F.split("word", "").alias("parts"))), 3)
-    return lm.corpus_merge_deltas(tokens, N, top).select("l", "r", F.round("delta", 2).alias("delta"))
+    return lm.corpus_merge_deltas(fx.documents(spark, d), N).select("l", "r", F.round("delta", 2).alias("delta"))
 
 
 _TRAINED = f"""{bpe_sql(_EN, MERGES)}, t AS (SELECT doc_id, line_no, generate_subscripts(ws, 1) AS at0, unnest(ws) AS w FROM (SELECT doc_id, line_no, {_TOKENS} AS ws FROM ({_LINES.replace('FROM documents', "FROM documents WHERE lang = 'fr'")}))),

@@ -60,6 +60,41 @@ def test_counts_and_training(spark):
     assert [(m.l, m.r) for m in merges] == [("a", "b")] and len(gains) == 1 and parts.count() == 2
 
 
+def joined(word, l, r):
+    out, k = [], 0
+    while k < len(word):
+        step = 2 if word[k : k + 2] == [l, r] else 1
+        out.append("".join(word[k : k + step]))
+        k += step
+    return out
+
+
+@pytest.mark.parametrize("whole_words", [False, True])
+def test_running_text_against_counting_anew(spark, monkeypatch, whole_words):
+    """Every pair's change, over empty and null texts, repeated texts, near and overlapping occurrences, and several portions."""
+    monkeypatch.setattr(lm, "HELD", 20)
+    texts = ["aaa aab\n baab", "", None, " \t", "ab", "abab ababa aaaa", "abab ababa aaaa", "caab ß ab " * 30, "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    cut = (lambda w: [w[:2], *w[2:]]) if whole_words else list
+    each = [[cut(w) for w in (t or "").split()] for t in texts]
+    each = [words for words in each if words]
+    segs = spark.createDataFrame(sorted({(w, tuple(cut(w))) for t in texts for w in (t or "").split()}), "word string, parts array<string>") if whole_words else None
+
+    def counts(documents):
+        return plain_counts([([s for w in words for s in w], 1) for words in documents], 2)
+
+    got = {(r["ctx"], r["sym"]): r["n"] for r in lm.corpus_ngram_counts(docs, 2, segs).collect()}
+    assert got == {(" ".join(c), s): n for (c, s), n in counts(each).items()}
+    before = plain_loglik(counts(each))
+    found = {(r["l"], r["r"]): r["delta"] for r in lm.corpus_merge_deltas(docs, 2, segs=segs).collect()}
+    assert set(found) == {(w[k], w[k + 1]) for words in each for w in words for k in range(len(w) - 1)}
+    for (l, r), delta in found.items():
+        assert delta == pytest.approx(plain_loglik(counts([[joined(w, l, r) for w in words] for words in each])) - before, abs=1e-6)
+    some = spark.createDataFrame(sorted(found)[:2], "l string, r string")
+    assert {(r["l"], r["r"]): r["delta"] for r in lm.corpus_merge_deltas(docs, 2, some, segs=segs).collect()} == pytest.approx({k: found[k] for k in sorted(found)[:2]})
+    assert lm.corpus_merge_deltas(docs.where("doc_id < 0"), 2).count() == 0
+
+
 def test_compat_deltas_agree_on_single_occurrences(spark):
     segs = bpe.initial_segmentation(spark.createDataFrame([("xab", 3), ("cd", 2)], "word string, freq bigint"))
     pairs = bpe.pair_statistics(spark.createDataFrame([("xab", 3, list("xab")), ("cd", 2, list("cd"))], "word string, freq bigint, parts array<string>"))
