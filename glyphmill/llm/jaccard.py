@@ -13,14 +13,18 @@ link when the Jaccard similarity of their sets is at least ``percent`` / 100.
    takes the l of least estimated cost: the sketch's counts of its prefix are
    the rows to probe, their sum over l bounds the candidates to verify.
 3. Shingles that occur in one prefix only are dropped.  First each document is
-   compared with the smallest document of its shingles' lists; links found so
-   contract the lists.  Then every pair of a list whose documents lie in
-   different components and fit in size is made once, if the prefixes have at
-   least min(l, l') shingles in common, and so many that those after the
-   prefixes can still make up the overlap that a link needs.  Such pairs are
-   verified on their whole sets.  Pairs in one component need no comparison:
-   the components are exact, and a group of copies of any size costs rows in
-   proportion to its size.
+   compared with a few of the smallest documents of its shingles' lists; links
+   found so contract the lists.  In up to ``ROUNDS`` rounds the documents outside
+   a list's main component are compared with a few members of it.  Then every pair
+   of a list whose documents lie in different components and fit in size is made
+   once, if the prefixes have at least min(l, l') shingles in common, and so many
+   that those after the prefixes can still make up the overlap that a link needs.
+   Such pairs are verified on their whole sets.  Pairs in one component need no
+   comparison: the components are exact, and the first comparisons are in
+   proportion to the lists.
+4. No pair is verified whose sets differ too much by a lower bound: the parities
+   of the sets' shingles in ``PARITIES`` cells differ in no more cells than the
+   sets have shingles of their own.
 
 Null texts count as empty: they have no shingles, link with nothing and are
 their own component.  Rows with a null key have component null.  Texts are
@@ -36,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import as_bytes, drop_scratch, read, release, scratch
@@ -50,6 +54,12 @@ CELLS = 1 << 20
 LONG_LIST = 128
 #: Documents of a long list in one part of it: a list of any length is compared in parts of this size.
 LIST_PART = 512
+#: Cells of a set's parities, in words of 64.
+PARITIES = 512
+#: Rounds against main components before all pairs, and members a document is compared with in each.
+ROUNDS, MEMBERS = 2, 2
+#: Bytes of sets that a task keeps while it verifies.
+HELD_SETS = 32 << 20
 #: The longest multi-match, and the cost of verifying a candidate in probed rows.
 LONGEST, VERIFY_COST = 8, 8.0
 
@@ -108,6 +118,18 @@ def prefix(text: bytes, k: int, percent: int, sketch: np.ndarray, noise: float)
     return ell, shingles[order[: n - needed(n, percent) + ell]]
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether each of PARITIES cells holds an odd number of the shingles, 64 cells a number."""
+    odd = np.bincount((shingles >> np.uint64(32)).astype(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _near(percent: int, a: str, b: str) -> str:
+    """SQL: the sets of columns n_a, parities_a and n_b, parities_b can be similar enough; of those that are, all pass."""
+    cells = " + ".join(f"bit_count(parities_{a}[{k}] ^ parities_{b}[{k}])" for k in range(PARITIES // 64))
+    return f"({cells}) * {100 + percent} <= (n_{a} + n_{b}) * {100 - percent}"
+
+
 def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     mean = float(sketch.mean())
@@ -116,12 +138,14 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in binary_rows(batches, "_text"):
             found = [prefix(t, k, percent, shared.value, noise) for t in texts]
+            cells = np.concatenate([parities(shingle_set(t, k)) for t in texts])
+            odd = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(cells))
             offsets = np.concatenate([[0], np.cumsum([len(p) for _, p in found])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([p for _, p in found]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(t) for t in texts], pa.int64()), pa.array([e for e, _ in found], pa.int32()), tokens], names=["_key", "node", "ell", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(t) for t in texts], pa.int64()), pa.array([e for e, _ in found], pa.int32()), tokens, odd], names=["_key", "node", "ell", "tokens", "parities"])
 
     kind = docs.schema["_key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_key {kind}, node long, ell int, tokens array<long>")
+    return docs.mapInArrow(run, f"_key {kind}, node long, ell int, tokens array<long>, parities array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -129,12 +153,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def of(node: int, text: bytes) -> np.ndarray:
+            nonlocal held, size
+            if node not in held:
+                found = shingle_set(text, k)
+                if size + found.nbytes > HELD_SETS:
+                    held, size = {}, 0
+                held[node] = found
+                size += found.nbytes
+            return held[node]
+
         for batch in batches:
             keep = []
-            for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if u not in held:
-                    held = {u: shingle_set(a, k)}
-                x, y = held[u], shingle_set(b, k)
+            for u, v, a, b in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                x, y = of(u, a), of(v, b)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -166,30 +200,65 @@ def _texts(pairs: DataFrame, held: DataFrame, keyed: DataFrame) -> DataFrame:
     return scratch(exact.groupBy("node").agg(F.min("_text").alias("text")).select(F.col("node").alias("rep"), "text"), "candidate-texts")
 
 
-def _open_pairs(open_: DataFrame, percent: int) -> DataFrame:
+def _opened(lists: DataFrame, part: DataFrame) -> DataFrame:
+    """The lists (token, rep, n, ell) that several components share, with component, main, long and parts."""
+    spread = lists.select("token", "rep", "n", "ell").join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    spread = scratch(spread, "lists-by-component")
+    drop_scratch(lists)
+    release(lists.sparkSession)
+    count = spread.groupBy("token", "component").agg(F.count("*").alias("c"))
+    main = count.groupBy("token").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("kinds"), F.sum("c").alias("length")).where("kinds > 1")
+    main = scratch(main.select("token", F.col("m.component").alias("main"), (F.col("length") > LONG_LIST).alias("long"), F.when(F.col("length") > LONG_LIST, F.ceil(F.col("length") / LIST_PART)).otherwise(1).cast("int").alias("parts")), "split-tokens")
+    open_ = scratch(spread.join(main, "token"), "open-lists")
+    drop_scratch(spread, main)
+    release(lists.sparkSession)
+    return open_
+
+
+def _near_pairs(pairs: DataFrame, odd: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that the parities let pass, with their number of differing cells."""
+    side = lambda x: odd.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("parities").alias(f"parities_{x}"))
+    cells = " + ".join(f"bit_count(parities_u[{k}] ^ parities_v[{k}])" for k in range(PARITIES // 64))
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(_near(percent, "u", "v")).select("u", "v", F.expr(cells).alias("apart"))
+
+
+def _members(open_: DataFrame, odd: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (u, v) of a member of a list's main component, any one, and another component's document: the nearest for each document."""
+    member = open_.where("component = main").groupBy("token").agg(F.min_by(F.struct(F.col("rep").alias("u"), F.col("n").alias("m")), F.xxhash64("rep", "token", F.lit(turn))).alias("x"))
+    met = open_.where("component <> main").join(member.select("token", "x.*"), "token").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    near = _near_pairs(met.select("u", F.col("rep").alias("v")).distinct(), odd, percent)
+    order = Window.partitionBy("v").orderBy("apart", "u")
+    return near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= MEMBERS).select("u", "v")
+
+
+def _open_pairs(open_: DataFrame, percent: int, odd: DataFrame | None = None) -> DataFrame:
     """The pairs (u, v) to verify of lists (token, rep, n, ell, component, main, long, parts) with several components.
 
-    A long list's documents are dealt to ``parts`` parts; those outside its main component, which all pairs need, meet every part.
+    ``odd``: the documents' parities (rep, parities), where they are known.  A long list's documents are dealt to ``parts`` parts; those outside its main component, which all pairs need, meet every part.
     """
     # what a document has in long lists and in short ones: at most its prefix
     has = open_.groupBy("rep").agg(F.collect_list(F.when(F.col("long"), F.col("token"))).alias("tokens"), F.count_if(~F.col("long")).alias("short_n"))
-    has = scratch(has.withColumn("long_n", F.size("tokens")), "open-prefixes")
-    short = open_.where("NOT long").join(has.select("rep", F.col("long_n").alias("elsewhere")), "rep")
-    long = open_.where("long").join(has.select("rep", "tokens", F.col("short_n").alias("elsewhere")), "rep")
-    one, other = (f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND component_a <> component_b", "(component_b = main_b OR rep_a < rep_b)")
+    has = has.withColumn("long_n", F.size("tokens"))
+    known = [] if odd is None else ["parities"]
+    has = scratch(has.join(odd.select("rep", "parities"), "rep") if known else has, "open-prefixes")
+    short = open_.where("NOT long").join(has.select("rep", F.col("long_n").alias("elsewhere"), *known), "rep")
+    long = open_.where("long").join(has.select("rep", "tokens", F.col("short_n").alias("elsewhere"), *known), "rep")
+    one, other = (f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND component_a <> component_b", "(component_b = main_b OR rep_a < rep_b)" + (f" AND {_near(percent, 'a', 'b')}" if known else ""))
     rest = f"greatest(({percent} * n_a + 99) DIV 100 - ell_a, ({percent} * n_b + 99) DIV 100 - ell_b) + least(elsewhere_a, elsewhere_b)"
     enough = f"({{c}} + least(elsewhere_a, elsewhere_b) >= least(ell_a, ell_b) AND ({{c}} + {rest}) * {100 + percent} >= {percent} * (n_a + n_b))"
 
     def apart(rows: DataFrame, *more: str) -> DataFrame:
         """Pairs of a list in different components: one of them is not of the list's main component."""
-        columns = ("rep", "n", "ell", "component", "main", "elsewhere", *more)
+        columns = ("rep", "n", "ell", "component", "main", "elsewhere", *known, *more)
         every, mine = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.pmod(F.xxhash64("rep"), "parts").cast("int")
         side = lambda x, part: rows.where("component <> main" if x == "a" else "true").select(F.col("token").alias(f"token_{x}"), part.alias(f"part_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in columns))
         rule = f"token_a = token_b AND part_a = part_b AND {one} AND {other}"
         if more:  # once for each pair, and only where its prefixes agree often enough
             common = "array_intersect(tokens_a, tokens_b)"
             rule += f" AND {enough.replace('{c}', f'size({common})')} AND array_min({common}) = token_a"
-        return side("a", every).join(side("b", mine), F.expr(rule)).withColumns({"u": F.least("rep_a", "rep_b"), "v": F.greatest("rep_a", "rep_b")})
+        tasks = 4 * open_.sparkSession.sparkContext.defaultParallelism  # few bytes make many pairs: such tasks are not to be merged
+        a, b = (side(x, part).repartition(tasks, f"token_{x}", f"part_{x}") for x, part in (("a", every), ("b", mine)))
+        return a.join(b, F.expr(rule)).withColumns({"u": F.least("rep_a", "rep_b"), "v": F.greatest("rep_a", "rep_b")})
 
     # a pair's first side differs from list to list: from here on a is u and b is v
     own = lambda c, x, y: F.min(F.when(F.col("rep_a") == F.col("u"), F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))).alias(f"{c}_{x}")
@@ -208,7 +277,7 @@ def _linked(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple
     reps = scratch(full.groupBy("node").agg(F.min("_key").alias("rep"), F.min("n").alias("n")), "representatives")
     keyed = reps.select(F.col("rep").alias("_key"), "node", "n")
     prefixes = _prefixes(held.where("_key IS NOT NULL"), k, percent, sketch).join(keyed, ["_key", "node"])
-    prefixes = scratch(prefixes.select(F.col("node").alias("rep"), "n", "ell", "tokens"), "prefixes")
+    prefixes = scratch(prefixes.select(F.col("node").alias("rep"), "n", "ell", "tokens", "parities"), "prefixes")
     release(spark)
     entries = prefixes.select(F.explode("tokens").alias("token"), "rep")
     several = entries.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("token", "hub")
@@ -219,29 +288,30 @@ def _linked(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple
     sizes = prefixes.select("rep", "n", "ell")
     lists = lists.join(sizes, "rep").join(sizes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), "hub")
     lists = scratch(lists.select("token", "rep", "n", "ell", "hub", "hub_n"), "lists")
+    odd = scratch(prefixes.join(lists.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "parities"), "parities")
     drop_scratch(several, prefixes)
     release(spark)
 
-    # each document against the smallest of its lists, where a good part of the shorter prefix agrees
+    # each document against the smallest of its lists: the one with most of its prefix in common, and others with a good part of the shorter one
     fits = "100 * least({a}, {b}) >= {p} * greatest({a}, {b})"
     stars = lists.where(f"rep <> hub AND {fits.format(a='n', b='hub_n', p=percent)}").groupBy("hub", "rep").agg(F.count("*").alias("c"), F.min(F.least("n", "hub_n")).alias("n"))
-    stars = scratch(stars.where(f"300 * c >= {100 - percent} * n").select(F.col("hub").alias("u"), F.col("rep").alias("v")), "stars")
+    stars = stars.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("c"), "hub"))).where(f"k = 1 OR 300 * c >= {100 - percent} * n")
+    stars = scratch(_near_pairs(stars.select(F.col("hub").alias("u"), F.col("rep").alias("v")), odd, percent).select("u", "v"), "stars")
     links = scratch(_verified(stars, _texts(stars, held, keyed), k, percent), "star-links")
     release(spark)
-    part = components(links)
+    open_ = _opened(lists, components(links))
+
+    # documents outside a list's main component against members of it
+    for turn in range(ROUNDS):
+        stars = scratch(_members(open_, odd, percent, turn), "stars")
+        found = scratch(_verified(stars, _texts(stars, held, keyed), k, percent), "star-links")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        open_ = _opened(open_, components(links))
 
     # every pair of a list across components
-    spread = lists.drop("hub", "hub_n").join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    spread = scratch(spread, "lists-by-component")
-    drop_scratch(lists)
-    release(spark)
-    count = spread.groupBy("token", "component").agg(F.count("*").alias("c"))
-    main = count.groupBy("token").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("kinds"), F.sum("c").alias("length")).where("kinds > 1")
-    main = scratch(main.select("token", F.col("m.component").alias("main"), (F.col("length") > LONG_LIST).alias("long"), F.when(F.col("length") > LONG_LIST, F.ceil(F.col("length") / LIST_PART)).otherwise(1).cast("int").alias("parts")), "split-tokens")
-    open_ = scratch(spread.join(main, "token"), "open-lists")
-    drop_scratch(spread)
-    release(spark)
-    pairs = scratch(_open_pairs(open_, percent), "pairs")
+    pairs = scratch(_open_pairs(open_, percent, odd), "pairs")
     more = scratch(_verified(pairs, _texts(pairs, held, keyed), k, percent), "links")
     release(spark)
     return rows, reps.select("node", "rep"), links.unionByName(more)

@@ -439,6 +439,45 @@ def test_links_do_not_depend_on_long_lists(spark, monkeypatch):
         assert bag(jaccard.near_duplicates(docs, k=4, percent=85).collect()) == want
 
 
+@pytest.mark.parametrize("copies", [80, 160])
+def test_near_copies_make_few_links(spark, copies, monkeypatch):
+    """A group of near copies: pairs and links in proportion to its size, and the same components."""
+    rng = random.Random(copies)
+    base, rows = [f"b{k}" for k in range(200)], []
+    for k in range(copies):
+        t = list(base)
+        for at in rng.sample(range(200), rng.randint(2, 3)):
+            t[at] = f"e{k}_{at}"
+        rows.append((k, " ".join(t)))
+    rows += [(1000 + k, t) for k, t in clusters(3)]
+    made, scratch = Counter(), jaccard.scratch
+
+    def counted(df, name):
+        made[name] += (found := scratch(df, name)).count()
+        return found
+
+    monkeypatch.setattr(jaccard, "scratch", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert bag(jaccard.near_duplicates(docs, k=4, percent=85).collect()) == plain_components(rows, 4, 85)
+    assert made["stars"] + made["pairs"] < 10 * len(rows)
+    assert made["star-links"] + made["links"] < 5 * len(rows)
+
+
+def test_parities_let_every_link_pass(spark):
+    rng, rows = random.Random(2), []
+    for _ in range(300):
+        a = [f"{rng.randrange(10**9)}" for _ in range(rng.choice([1, 5, 60, 400, 3000]))]
+        b = [x for x in a if rng.random() > 0.09] + [f"n{j}" for j in range(rng.randint(0, len(a) // 12))]
+        x, y = (jaccard.shingle_set(" ".join(t).encode(), 1) for t in (a, b))
+        common = len(set(x.tolist()) & set(y.tolist()))
+        rows.append((len(x), jaccard.parities(x).tolist(), len(y), jaccard.parities(y).tolist(), len(x) + len(y) - 2 * common, 100 * common >= 85 * (len(x) + len(y) - common)))
+    rows = [r for r in rows if r[2]]
+    df = spark.createDataFrame(rows, "n_a bigint, parities_a array<bigint>, n_b bigint, parities_b array<bigint>, apart bigint, linked boolean")
+    passed = df.selectExpr("linked", f"{jaccard._near(85, 'a', 'b')} AS passed", "apart").collect()
+    assert {r["linked"] for r in passed} == {True, False} and all(r["passed"] for r in passed if r["linked"])
+    assert not all(r["passed"] for r in passed)
+
+
 def test_texts_of_one_key(spark):
     """A key's texts are linked each on its own words, and unlike ones are kept."""
     rng = random.Random(8)
