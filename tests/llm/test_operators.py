@@ -609,6 +609,44 @@ def test_scores_against_brute_force(spark, monkeypatch):
     assert [got[k] for k, _ in rows] == pytest.approx(want, abs=2e-4)
 
 
+def test_contexts_share_no_counts(spark, monkeypatch):
+    """More contexts than slots would hold, over several buckets, sources and portions: as with a dictionary of counts."""
+    import numpy as np
+
+    monkeypatch.setattr(scoring, "MOST_BITS", 60)  # the brute force's tables: as good as empty
+    rng = random.Random(9)
+    vocab = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 80)))) for k in range(200)]
+    counts = Counter(w for k, t in rows if not scoring.held_out(k) for w in t.encode().split())
+    order = sorted({w for _, t in rows for w in t.encode().split()}, key=lambda w: (-counts[w], w))
+    code = scoring.huffman(np.array([*(counts[w] for w in order), 0, sum(not scoring.held_out(k) for k, _ in rows)]))
+    want = plain_mix([[order.index(w) for w in t.encode().split()] for _, t in rows], [not scoring.held_out(k) for k, _ in rows], len(order), code, 512)
+    for bucket_bits, source, mixed in ((24, 1 << 21, 1 << 17), (12, 1000, 300)):
+        monkeypatch.setattr(scoring, "BUCKET_BITS", bucket_bits, raising=False)
+        monkeypatch.setattr(scoring, "SOURCE_TOKENS", source, raising=False)
+        monkeypatch.setattr(scoring, "MIXED_TOKENS", mixed, raising=False)
+        got = {r["doc_id"]: r["score"] for r in scoring.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        assert [got[k] for k, _ in rows] == pytest.approx(want, abs=1e-3)
+
+
+def test_context_states_are_exact():
+    """Beyond 2^21 contexts, each keeps its own counts."""
+    import numpy as np
+
+    code = scoring.huffman(np.array([5, 4, 3, 2, 1]))
+    contexts = scoring.Contexts(code, 1 << 22, 1)
+    n = (1 << 21) + 1000
+    symbol, c = np.arange(n) % 5, np.arange(n) % 3 + 1
+    keys = np.arange(n, dtype=np.int64) << contexts.low | contexts.leaf[symbol]
+    others, begin = contexts.others(keys, c)
+    states = contexts.states(keys, c, others)
+    path = lambda k: code.bit[code.start[symbol[k]] : code.start[symbol[k]] + code.length[symbol[k]]]
+    for k in (0, 1, 2, 77, n - 2, n - 1):
+        assert states[begin[k] :][: len(path(k))].tolist() == [int(c[k]) << (0 if y else 8) for y in path(k)]
+    assert np.count_nonzero(states) == len(states) == int(code.length[symbol].sum())
+    assert scoring.table_bits(1 << 30) == 33
+
+
 def test_tables_grow_with_the_corpus():
     assert [scoring.table_bits(n) for n in (0, 10**3, 10**4, 10**5)] == [12, 12, 16, 19]
 
