@@ -664,6 +664,41 @@ def test_bit_predictors_make_a_distribution():
     assert two.sum() == pytest.approx(whole[97], rel=1e-3)
 
 
+def test_shared_beginnings_are_decided_once():
+    """op8's CPU: the bytes that sorted words share are not decided anew; sums and scores are those of each word alone."""
+    import numpy as np
+
+    rng = random.Random(6)
+    words = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 7))) + b" " for _ in range(400)]
+    words = sorted(words) + words[:50] + [b"a" * 70_000 + b" ", scoring.END]
+    c = np.array([rng.randint(0, 5) for _ in words])
+    code = scoring.huffman(np.arange(256))
+    d = scoring.decisions(words, code)
+    beginnings = lambda ws: {w[:k] for w in ws for k in range(1, len(w) + 1)}
+    at_most = len(beginnings(words[:400])) + sum(map(len, words[400:]))
+    assert len(np.unique(d.byte)) <= at_most < sum(map(len, words)) - 1000
+    alone = [scoring.decisions([w], code) for w in words]
+    for k, bits in enumerate(scoring.BITS):
+        got = np.bincount(d.slots[k] + (d.bit << bits), d.sums(c)[d.byte], 2 << bits)
+        want = sum(np.bincount(x.slots[k] + (x.bit << bits), np.full(len(x.bit), n), 2 << bits) for x, n in zip(alone[-60:], c[-60:], strict=True))
+        want += np.bincount(np.concatenate([x.slots[k] + (x.bit << bits) for x in alone[:-60]]), np.repeat(c[:-60], [len(x.bit) for x in alone[:-60]]), 2 << bits)
+        assert got.tolist() == want.tolist()
+    tables = [rng_.normal(0, 2, 1 << b).astype(np.float32) for rng_ in [np.random.default_rng(3)] for b in scoring.BITS]
+    model = scoring.Model(code, tables, [np.ones(1 << scoring.BITS[k], np.uint8) for k in (2, -1)], np.full((scoring.SETS, 6), 0.3), np.full((scoring.SETS, scoring.BINS), 0.5))
+    assert model.log10(words) == pytest.approx([float(model.log10([w])[0]) for w in words])
+
+
+def test_distinct_numbers_and_places():
+    """op8's CPU: numbers that leave room for their places, and such that don't."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for bits in (10, 51, 62):
+        keys = rng.integers(0, 1 << bits, 3000)[rng.integers(0, 3000, 5000)]
+        want = np.unique(keys, return_inverse=True)
+        assert [x.tolist() for x in scoring._distinct(keys, bits)] == [x.tolist() for x in want]
+
+
 def test_held_out_gain(spark):
     rng = random.Random(2)
     parts = ["ing", "ed", "er", "th", "an", "st", "on", "re"]
