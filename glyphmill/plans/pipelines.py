@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.bpe import Merge, apply_merges, delimit_corpus, learn_bpe, segmentation_diff
+from ..operators.bpe import Merge, apply_merges, delimit_corpus, delimit_with_merges, learn_bpe, segmentation_diff
 from ..operators.preseg import apply_presegs, recover_presegs
-from ..operators.vocab import vocabulary
+from ..operators.vocab import kept, vocabulary
 
 
 def train_and_apply(train: DataFrame, corpus: DataFrame, n_merges: int, presegs: DataFrame | None = None, ignore_case: bool = False, keys: tuple[str, ...] = ("doc_id", "line_no"), text: str = "text") -> tuple[list[Merge], DataFrame, DataFrame]:
@@ -18,9 +18,9 @@ def train_and_apply(train: DataFrame, corpus: DataFrame, n_merges: int, presegs:
     merges, _ = learn_bpe(trained, n_merges)
     pairs = [(m.l, m.r) for m in merges]
     if presegs is None:
-        segs = apply_merges(seen, pairs)
-    else:
-        segs = recover_presegs(seen, presegs, apply_merges(apply_presegs(seen, presegs), pairs))
+        return merges, apply_merges(seen, pairs), delimit_with_merges(corpus, pairs, keys, text, restore_case=ignore_case)
+    seen = kept(seen)
+    segs = recover_presegs(seen, presegs, apply_merges(apply_presegs(seen, presegs), pairs))
     return merges, segs, delimit_corpus(corpus, segs, keys, text, restore_case=ignore_case)
 
 
